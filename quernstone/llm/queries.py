@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
 
 
@@ -9,10 +10,29 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+SQL1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(a[p:p+4], ' ')) AS k FROM w, unnest(range(1, greatest(len(a) - 3, 2))) AS t(p) WHERE len(a) > 0),
+s AS (SELECT doc_id, count(*) AS n, sum(k) AS f1, bit_xor(k) AS f2 FROM g GROUP BY doc_id),
+c AS (SELECT n, f1, f2, min(doc_id) AS rep FROM s GROUP BY ALL),
+r AS (SELECT g.doc_id, g.k, c.n FROM g JOIN c ON g.doc_id = c.rep),
+df AS (SELECT k FROM r GROUP BY k HAVING count(*) > 1),
+q AS (SELECT r.* FROM r SEMI JOIN df ON r.k = df.k),
+q2 AS (SELECT * FROM q WHERE doc_id IN (SELECT doc_id FROM q GROUP BY doc_id, n HAVING 100 * count(*) >= 75 * n)),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM q2 x JOIN q2 y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+p(a, b) AS (SELECT rep, rep FROM c UNION SELECT p.a, l.b FROM p JOIN l ON l.a = p.b),
+m AS (SELECT a AS rep, min(b) AS m FROM p GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(m.m, w.doc_id) AS BIGINT) AS component_id
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.n = s.n AND c.f1 = s.f1 AND c.f2 = s.f2 LEFT JOIN m ON m.rep = c.rep"""
+
 SQL9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
 g AS (SELECT doc_id, p, array_to_string(a[p:p+12], ' ') AS k FROM w, unnest(range(1, len(a) - 11)) AS t(p)),
@@ -23,5 +43,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES = {"op9_substring_dedup": SQL9}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
+ORACLES = {"op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
