@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import quernstone
 
+BATCH = 1000
+
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a SparkContext, through Spark's own file server."""
+    # Batches of at most so many texts: some are very long.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     sc = spark.sparkContext
     if getattr(sc, "_quernstone_shipped", False):
         return

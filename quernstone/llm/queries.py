@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quernstone.llm._env import shared_dir
+from quernstone.llm.bpe import bpe_decode, bpe_encode
 from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
+from quernstone.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +22,18 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_files(spark, sf_dir):
+    folder = f"{shared_dir(spark).rstrip('/')}/quernstone/tokens-{uuid.uuid4().hex}"
+    write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -43,5 +63,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op9_substring_dedup": op9_substring_dedup}
 ORACLES = {"op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
