@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_NO_TERM = np.ones(256, bool)
+_NO_TERM[48:58] = _NO_TERM[65:91] = _NO_TERM[97:123] = _NO_TERM[128:] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -38,9 +40,12 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a column of texts: ``start``/``end`` byte places, ``first`` word of each row, 64-bit ``hash``es."""
+    """Words of a column of texts: ``start``/``end`` byte places, ``first`` word of each row, 64-bit ``hash``es.
 
-    def __init__(self, texts, lower: bool = False):
+    terms: words are runs of ASCII letters, digits and other non-ASCII characters instead.
+    """
+
+    def __init__(self, texts, lower: bool = False, terms: bool = False):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
@@ -51,7 +56,7 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and n else np.zeros(0, np.uint8)
         at = at - at[0]
         self.n, self.raw, self.at = n, raw, at
-        word = ~_SPACE[raw]
+        word = ~(_NO_TERM if terms else _SPACE)[raw]
         begins, ends = word.copy(), word.copy()
         begins[1:] &= ~word[:-1]
         ends[:-1] &= ~word[1:]

@@ -13,6 +13,8 @@ from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
 from quernstone.llm.token_files import read_token_files, write_token_files
 
+from quernstone.llm.toxicity import held_out, toxicity_scores, train
+
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -34,6 +36,13 @@ def op4_token_files(spark, sf_dir):
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(held_out("doc_id", 5) != 0))
+    scored = toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (held_out("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -63,5 +72,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup}
 ORACLES = {"op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
