@@ -11,10 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_NO_TERM = np.ones(256, bool)
-_NO_TERM[48:58] = _NO_TERM[65:91] = _NO_TERM[97:123] = _NO_TERM[128:] = False
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+_IS_TERM = np.zeros(256, bool)
+_IS_TERM[48:58] = _IS_TERM[65:91] = _IS_TERM[97:123] = _IS_TERM[128:] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -30,15 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), _STEP, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 class Words:
     """Words of a column of texts: ``start``/``end`` byte places, ``first`` word of each row, 64-bit ``hash``es.
 
@@ -56,27 +48,38 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and n else np.zeros(0, np.uint8)
         at = at - at[0]
         self.n, self.raw, self.at = n, raw, at
-        word = ~(_NO_TERM if terms else _SPACE)[raw]
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        ends[:-1] &= ~word[1:]
-        full = np.flatnonzero(at[1:] > at[:-1])
-        begins[at[:-1][full]] = word[at[:-1][full]]
-        ends[at[1:][full] - 1] = word[at[1:][full] - 1]
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        word = (_IS_TERM if terms else _IS_WORD)[raw]
+        edge = np.empty(len(raw) + 1, bool)  # where a run of word bytes starts or, one further, ends
+        edge[:1] = word[:1]
+        edge[-1:] = word[-1:]
+        np.not_equal(word[1:], word[:-1], out=edge[1:-1])
+        inner = at[1:-1]
+        inner = np.unique(inner[(inner > 0) & (inner < len(raw))])
+        joined = inner[word[inner] & word[inner - 1]]  # a row ends within a run
+        edges = np.flatnonzero(edge) if len(raw) else np.zeros(0, np.int64)
+        if len(joined):
+            edges = np.sort(np.concatenate((edges, joined, joined)))
+        self.start, self.end = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.start, at)
-        if len(self.start):
-            length = self.end - self.start
-            place = np.arange(len(raw), dtype=np.int64)
-            place -= np.repeat(np.concatenate(([0], self.start[1:])), np.diff(np.concatenate(([0], self.start[1:], [len(raw)]))))
-            place[: self.start[0]] = 0
-            seen = _FOLD[raw] if lower else raw
-            value = _BYTE[seen] * _powers(int(place.max()) + 1)[place]
-            value[~word] = 0
-            self.hash = mix(np.add.reduceat(value, self.start) + length.astype(np.uint64) * U(_BASE))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = self._hashes(np.take(_FOLD, raw) if lower else raw)
+
+    def _hashes(self, seen: np.ndarray) -> np.ndarray:
+        """Of each word, from its length and its bytes, eight at a time."""
+        length = self.end - self.start
+        h = length.astype(np.uint64) * U(_BASE)
+        eight = np.ndarray((len(seen),), "<u8", np.concatenate((seen, np.zeros(8, np.uint8))), strides=(1,))
+        own, start, left = None, self.start, length
+        while len(start):
+            part = eight[start]
+            part &= _MASK[np.minimum(left, 8)]
+            if own is None:
+                h = mix(h ^ part)
+            else:
+                h[own] = mix(h[own] ^ part)
+            more = np.flatnonzero(left > 8)
+            own = more if own is None else own[more]
+            start, left = start[more] + 8, left[more] - 8
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
