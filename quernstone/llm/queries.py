@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._env import shared_dir
 from quernstone.llm.bpe import bpe_decode, bpe_encode
+from quernstone.llm.decontaminate import find_leaks
+from quernstone.llm.language_id import language_id
+from quernstone.llm.language_id import train as language_id_model
 from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
 from quernstone.llm.token_files import read_token_files, write_token_files
@@ -36,6 +39,17 @@ def op4_token_files(spark, sf_dir):
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id_model(docs.filter(held_out("doc_id", 3) != 1))
+    out = language_id(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (held_out("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_decontaminate(spark, sf_dir):
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(held_out("doc_id", 5) != 0))
@@ -72,5 +86,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup}
 ORACLES = {"op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
