@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._env import shared_dir
 from quernstone.llm.bpe import bpe_decode, bpe_encode
+from quernstone.llm.chat_format import format_chats, read_chats
 from quernstone.llm.decontaminate import find_leaks
 from quernstone.llm.language_id import language_id
 from quernstone.llm.language_id import train as language_id_model
+from quernstone.llm.license_scan import license_scan
+from quernstone.llm.license_scan import oracle as license_oracle
 from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
 from quernstone.llm.token_files import read_token_files, write_token_files
@@ -27,6 +30,23 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{text}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{text}'")
+    chats = read_chats(format_chats(rows.unionByName(more)))
+    parts = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def op3_bpe(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path), path)
@@ -57,6 +77,10 @@ def op8_toxicity(spark, sf_dir):
     return scored.select("doc_id", (held_out("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_license_scan(spark, sf_dir):
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -76,6 +100,20 @@ m AS (SELECT a AS rep, min(b) AS m FROM p GROUP BY a)
 SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(m.m, w.doc_id) AS BIGINT) AS component_id
 FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.n = s.n AND c.f1 = s.f1 AND c.f2 = s.f2 LEFT JOIN m ON m.rep = c.rep"""
 
+SQL2 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, text || CASE WHEN role IN ('system', 'user', 'assistant') THEN '' ELSE role END AS x FROM t),
+n AS (SELECT *, length(x) + length(x) - length(replace(x, '\', '')) + list_sum([(length(x) - length(replace(x, c, ''))) // length(c) for c in ['[SYS]', '[/SYS]', '[INST]', '[/INST]', '<s>', '</s>', '[ROLE]', '[/ROLE]', '[:]']])
++ CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 16 END AS chars FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM n)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END)
+AND arg_max(role, i) = 'assistant' AS valid
+FROM o GROUP BY conv_id"""
+
 SQL9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
 g AS (SELECT doc_id, p, array_to_string(a[p:p+12], ' ') AS k FROM w, unnest(range(1, len(a) - 11)) AS t(p)),
@@ -86,5 +124,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup}
-ORACLES = {"op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
+ORACLES = {"op2_chat_format": SQL2, "op10_license_scan": license_oracle(), "op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
