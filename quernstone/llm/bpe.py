@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._env import ship
 
-WAVE_BYTES = 24_000_000
-CACHE_WORDS = 400_000
+WAVE_BYTES = 9_000_000
+CACHE_WORDS = 200_000
 MOST_MODEL_BYTES = 64_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -224,13 +224,14 @@ def _encoder(model: bytes) -> Encoder:
     return _kept[key]
 
 
-def _waves(batches, column: str):
+def waves(batches, column: str, most: int):
+    """Runs of batches of about so many bytes."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             size += batch.column(column).nbytes
-        if size >= WAVE_BYTES:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -253,7 +254,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder = _encoder(model.value)
-        for wave in _waves(batches, "text"):
+        for wave in waves(batches, "text", WAVE_BYTES):
             if len(coder.number) > CACHE_WORDS:
                 coder.clear()
             numbers = [[coder.numbers(t or "") for t in batch.column("text").to_pylist()] for batch in wave]
