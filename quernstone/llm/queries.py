@@ -11,6 +11,7 @@ from quernstone.llm._env import shared_dir
 from quernstone.llm.bpe import bpe_decode, bpe_encode
 from quernstone.llm.chat_format import format_chats, read_chats
 from quernstone.llm.decontaminate import find_leaks
+from quernstone.llm.embedding_dedup import embedding_links
 from quernstone.llm.language_id import language_id
 from quernstone.llm.language_id import train as language_id_model
 from quernstone.llm.license_scan import license_scan
@@ -59,6 +60,10 @@ def op4_token_files(spark, sf_dir):
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = language_id_model(docs.filter(held_out("doc_id", 3) != 1))
@@ -124,5 +129,5 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN d USING (doc_id)"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
 ORACLES = {"op2_chat_format": SQL2, "op10_license_scan": license_oracle(), "op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
