@@ -47,10 +47,11 @@ def layout(docs: DataFrame) -> tuple[int, int]:
     return max(768, int(size / chunk)), max(128, int(size / (2 * chunk)))
 
 
-def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    """chunk, doc_id, text; the same plan each time, so that Spark reuses one exchange for all uses within a query."""
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return row.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "text").repartition("chunk")
+def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int, rest: list[str] | None = None) -> DataFrame:
+    """chunk, doc_id, text and, if named, the other columns as one; the same plan each time, so that Spark reuses one exchange for all uses within a query."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return row.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "*").repartition("chunk")
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

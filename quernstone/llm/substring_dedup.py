@@ -102,7 +102,8 @@ def _kept(table: pa.Table, marks: np.ndarray, w: Words) -> pa.Table:
         texts.append(kept)
         digests.append(hashlib.sha256(kept).hexdigest())
     n = w.counts()
-    return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone[w.first[1:]] - gone[w.first[:-1]], pa.int64()), "kept": pa.array(texts, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digests, pa.string())}).cast(_SCHEMA)
+    out = pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone[w.first[1:]] - gone[w.first[:-1]], pa.int64()), "kept": pa.array(texts, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digests, pa.string())}).cast(_SCHEMA)
+    return out.append_column("rest", table["rest"]).append_column("text", table["text"]) if "rest" in table.column_names else out
 
 
 def _result(table: pa.Table, answers: pa.Table, firsts: pa.Table, block: int, window: int, buckets: int) -> pa.Table:
@@ -118,18 +119,19 @@ def _result(table: pa.Table, answers: pa.Table, firsts: pa.Table, block: int, wi
     return _kept(table, np.cumsum(cover)[:-1] > 0, w)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = 13, block_words: int = 7) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = 13, block_words: int = 7, rest: list[str] | None = None) -> DataFrame:
     """Each document without the words of repeated passages: doc_id, n_words, n_removed, kept (words joined by one space), kept_sha256.
 
     A word goes if it lies in ``window_words`` consecutive words of its document
     that also stand in a document with a smaller id; the input decides, not what
-    is left of it.
+    is left of it.  rest: other columns to carry along, as the struct ``rest``;
+    the unchanged ``text`` then comes, too.
     """
     if window_words < 2 * block_words - 1:
         raise ValueError("window_words must be at least 2 * block_words - 1")
     ship(docs.sparkSession)
     chunks, buckets = C.layout(docs)
-    rows = lambda: C.in_chunks(docs, id_col, text_col, chunks)
+    rows = lambda: C.in_chunks(docs, id_col, text_col, chunks, rest)
     n, k = window_words, block_words
 
     def sent(key, table):
@@ -147,4 +149,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kind = answers["kind"].to_numpy()
         return _result(table, answers.filter(pa.array(kind == 0)), answers.filter(pa.array(kind == 1)), k, n, buckets)
 
-    return rows().groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(result, OUT)
+    schema = OUT + (f", rest {rows().schema['rest'].dataType.simpleString()}, text string" if rest else "")
+    return rows().groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(result, schema)
