@@ -11,13 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-_IS_TERM = np.zeros(256, bool)
-_IS_TERM[48:58] = _IS_TERM[65:91] = _IS_TERM[97:123] = _IS_TERM[128:] = True
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
 
@@ -48,7 +42,10 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and n else np.zeros(0, np.uint8)
         at = at - at[0]
         self.n, self.raw, self.at = n, raw, at
-        word = (_IS_TERM if terms else _IS_WORD)[raw]
+        if terms:
+            word = ((raw | np.uint8(32)) - np.uint8(97) < 26) | (raw - np.uint8(48) < 10) | (raw > 127)
+        else:
+            word = (raw != 32) & (raw - np.uint8(9) > 4)
         edge = np.empty(len(raw) + 1, bool)  # where a run of word bytes starts or, one further, ends
         edge[:1] = word[:1]
         edge[-1:] = word[-1:]
@@ -61,7 +58,7 @@ class Words:
             edges = np.sort(np.concatenate((edges, joined, joined)))
         self.start, self.end = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.start, at)
-        self.hash = self._hashes(np.take(_FOLD, raw) if lower else raw)
+        self.hash = self._hashes(raw + (raw - np.uint8(65) < 26) * np.uint8(32) if lower else raw)
 
     def _hashes(self, seen: np.ndarray) -> np.ndarray:
         """Of each word, from its length and its bytes, eight at a time."""
