@@ -47,13 +47,13 @@ class Words:
         else:
             word = (raw != 32) & (raw - np.uint8(9) > 4)
         edge = np.empty(len(raw) + 1, bool)  # where a run of word bytes starts or, one further, ends
-        edge[:1] = word[:1]
-        edge[-1:] = word[-1:]
+        edge[0] = len(raw) > 0 and word[0]
+        edge[-1] = len(raw) > 0 and word[-1]
         np.not_equal(word[1:], word[:-1], out=edge[1:-1])
         inner = at[1:-1]
         inner = np.unique(inner[(inner > 0) & (inner < len(raw))])
         joined = inner[word[inner] & word[inner - 1]]  # a row ends within a run
-        edges = np.flatnonzero(edge) if len(raw) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(edge)
         if len(joined):
             edges = np.sort(np.concatenate((edges, joined, joined)))
         self.start, self.end = edges[::2], edges[1::2]
