@@ -15,7 +15,6 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     interval; older matches count as none.  allow_exact: whether an equal time
     matches.  tie: a right column; of equal times the highest wins.
     """
-    none = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_cols]
     payload = F.struct(F.col(right_ts).alias("ts"), *[F.col(c).alias(c) for c in right_cols])
     lcols = F.struct(*[F.col(c) for c in left.columns])
     a = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1 if allow_exact else 0).alias("_side"), F.lit(None).cast("string").alias("_tie"), lcols.alias("_l"))
@@ -24,7 +23,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     w = Window.partitionBy(*by).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = every.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter("_l IS NOT NULL")
     fresh = F.col("_m").isNotNull() if lookback is None else F.col("_m.ts") >= F.col("_ts") - F.expr(f"INTERVAL {lookback}")
-    return out.select("_l.*", F.when(fresh, F.col("_m.ts")).alias(f"matched_{right_ts}"), *[F.when(fresh, F.col(f"_m.{c}")).alias(c) if c not in left.columns else F.when(fresh, F.col(f"_m.{c}")).alias(f"right_{c}") for c, _ in zip(right_cols, none)])
+    named = [F.when(fresh, F.col(f"_m.{c}")).alias(f"right_{c}" if c in left.columns else c) for c in right_cols]
+    return out.select("_l.*", F.when(fresh, F.col("_m.ts")).alias(f"matched_{right_ts}"), *named)
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, before: int, after: int) -> DataFrame:
@@ -67,14 +67,13 @@ def is_acyclic(schemas: list[set[str]]) -> bool:
 
 
 def semi_join_reduced(relations: list[DataFrame]) -> list[DataFrame]:
-    """Each relation without rows that no neighbour matches: one pass forth and one back."""
+    """Each relation without rows that its neighbour in the list does not match: one pass forth and one back."""
     out = [r.distinct() for r in relations]
-    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
-        for i in order:
-            other = out[i - 1] if isinstance(order, range) and order.step == 1 else out[i + 1]
-            shared = [c for c in out[i].columns if c in other.columns]
-            if shared:
-                out[i] = out[i].join(other.select(*shared).distinct(), shared, "left_semi")
+    forth = [(i, i - 1) for i in range(1, len(out))]
+    for i, j in forth + [(j, i) for i, j in reversed(forth)]:
+        shared = [c for c in out[i].columns if c in out[j].columns]
+        if shared:
+            out[i] = out[i].join(out[j].select(*shared).distinct(), shared, "left_semi")
     return out
 
 
