@@ -15,6 +15,8 @@ tables are literals of the plan.  Null and empty texts hold no licence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,7 @@ def normalised(text: str) -> str:
 
 
 def sentence_table() -> dict[str, str]:
-    """Normalised sentence -> identifier; a sentence that is cut in the texts is looked up by its parts, the last of which names it."""
-    import re
-
+    """Normalised sentence -> identifier."""
     out: dict[str, str] = {}
     for name, text in SENTENCES.items():
         parts = [p for p in map(normalised, re.sub(CUT, r"\1\n", text).split("\n")) if p]
@@ -97,7 +97,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = F.split(F.regexp_replace("text", CUT, "$1\n"), "\n")
     names = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
     found = rows.select("doc_id", F.filter(names, lambda x: x.isNotNull()).alias("ids")).filter(F.size("ids") > 0)
-    state = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("seq"), F.lit(0).alias("n0"))
+    state = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("seq"))
     counts = []
     for k, (_, run) in enumerate(rules):
         pattern = "".join(f"<{x}>" for x in run)
