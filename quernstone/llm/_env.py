@@ -68,5 +68,13 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)  # larger: Spark knows no size
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release() -> None:
+    """Give memory that a worker has freed back to the system, where its allocators can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -21,24 +21,30 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
+import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import rans
-from quernstone.llm._env import input_bytes, ship
-from quernstone.llm.bpe import read_model
+from quernstone.llm._env import input_bytes, release, ship
+from quernstone.llm._words import Words, mix
+from quernstone.llm.bpe import byte_symbols, read_model, waves
 
-SEGMENT, CACHE_STEMS, JOINED = 1 << 21, 800_000, 2000
+SEGMENT, CACHE_STEMS, JOINED, WAVE_BYTES = 1 << 21, 600_000, 2000, 5_000_000
 NULL_ID = -(1 << 63)
+MOST_BROADCAST = 500_000
 CONTAINER = "part int, seq int, docs long, tokens long, payload binary"
 FIRST = "\x1e"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_RUN, _PLAIN = re.compile(r"\s "), re.compile(r"[^\s\x1e]\S*")
+ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLAIN = re.compile(r"[^\s\x1e]\S*")
 
 
 class _Numbers(dict):
@@ -62,65 +68,124 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(model)
-        added = [t["content"] for t in json.loads(model).get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = [t["content"] for t in json.loads(model).get("added_tokens", [])]
+        self.symbol = dict(enumerate(byte_symbols()))
         self.tok.no_padding()
         self.tok.no_truncation()
         one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.line = one("\n")
         self.joins = len(self.line) == 1 and one(" a\n b") == [*one(" a"), *self.line, *one(" b")]
         self.parts = all(one(f" a{c}") == [*one(" a"), *one(c)] for c in MARKS)
+        self.lines = one("\nab") == [*self.line, *one("ab")]
+        self.alone = self._alone(["ab", FIRST + "Straße"]) == [one(" ab"), one("Straße")] and self._alone(["ab", "Straße", "日本", "12"]) == [one(t) for t in (" ab", " Straße", " 日本", " 12")]
         self.clear()
 
     def clear(self) -> None:
         self.stem = _Numbers()
-        self.known = 0
+        self.coded = 0
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.fresh_pieces()
-
-    def fresh_pieces(self) -> None:
-        self.piece = _Numbers()
-
-    def numbers(self, text: str) -> np.ndarray:
-        """Numbers of the pieces of a text.  A key is the piece without its first space; a first piece is marked."""
-        if not text:
-            return np.zeros(0, np.int64)
-        if FIRST in text:
-            return np.array([self.piece[FIRST + text]])
-        parts = text.split(" ")
-        parts[0] = FIRST + parts[0]
-        if _RUN.search(text) or text[0] == " ":
-            whole: list[str] = []
-            for p in parts:
-                if whole and (not whole[-1] or whole[-1] == FIRST or whole[-1][-1].isspace()):
-                    whole[-1] += " " + p
-                else:
-                    whole.append(p)
-            parts = whole
-        return np.fromiter(map(self.piece.__getitem__, parts), np.int64, len(parts))
-
-    def learn(self) -> tuple[np.ndarray, np.ndarray]:
-        """Encode the stems that came since the last time; for each piece the numbers of its two parts."""
-        stem, first, second = self.stem, [], []
-        nothing = stem[FIRST]
-        for p in self.piece:
+        self.known, self.parts_of = np.zeros(0, np.uint64), np.zeros((0, 3), np.int32)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        own = np.flatnonzero(odd)
+        for n in range(0, len(own), JOINED):
+            some = own[n : n + JOINED]
+            for k, e in zip(some, self.tok.encode_batch_fast(texts.take(pa.array(some)).to_pylist(), add_special_tokens=False)):
+                out[k] = np.array(e.ids, np.uint32)
+        plain = np.flatnonzero(~odd)
+        for k, ids in zip(plain, self._encode_plain(texts.filter(pa.array(~odd)) if len(own) else texts)):
+            out[k] = ids
+        return out
+
+    def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts without odd white space or added tokens: a piece is a run of white space and the word after it."""
+        w = Words(texts)
+        raw, at = w.raw, w.at
+        first, last = w.first[:-1], w.first[1:]
+        begin = np.empty_like(w.start)  # of the run before each word
+        begin[1:] = w.end[:-1]
+        some = np.flatnonzero(last > first)
+        begin[first[some]] = at[:-1][some]
+        # The white space after the last word of a text, or a text of white space alone, is a piece of its own.
+        stop = at[:-1].copy()
+        stop[some] = w.end[last[some] - 1]
+        tail = np.flatnonzero(stop < at[1:])
+        size = w.start - begin
+        padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+        run = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[begin] & MASKS[np.minimum(size, 8)]
+        for k in np.flatnonzero(size > 8).tolist():
+            run[k] = zlib.crc32(raw[begin[k] : w.start[k]].tobytes()) + (int(size[k]) << 32)
+        key = w.hash ^ mix(run + np.minimum(size, 9).astype(np.uint64))
+        tails = [raw[a:b].tobytes() for a, b in zip(stop[tail].tolist(), at[1:][tail].tolist())]
+        key = np.concatenate((key, np.array([zlib.crc32(t) + (len(t) << 32) + (1 << 63) for t in tails], np.uint64)))
+        doc = np.concatenate((w.row_of_word(), tail))
+        begin, end = np.concatenate((begin, stop[tail])), np.concatenate((w.end, at[1:][tail]))
+        keys, where, number = np.unique(key, return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)] != keys) if len(self.known) else np.arange(len(keys))
+        if len(fresh):
+            data = raw.tobytes()
+            parts = self._learn([data[a:b].decode() for a, b in zip(begin[where[fresh]].tolist(), end[where[fresh]].tolist())])
+            known = np.concatenate((self.known, keys[fresh]))
+            order = np.argsort(known, kind="stable")
+            self.known, self.parts_of = known[order], np.concatenate((self.parts_of, parts))[order]
+        parts = self.parts_of[np.searchsorted(self.known, keys)][number]
+        if len(tail):
+            order = np.argsort(doc, kind="stable")  # a tail comes after its text's words
+            parts, doc = parts[order], doc[order]
+        cut = np.searchsorted(doc, np.arange(w.n + 1))
+        own = parts.ravel()
+        start, many = self.at[own], self.at[own + 1] - self.at[own]
+        stops = np.concatenate(([0], np.cumsum(many)))
+        where = np.repeat((start - stops[:-1]).astype(np.int32), many)  # both ends are far below 2**31: the cache and a wave are bounded
+        where += np.arange(stops[-1], dtype=np.int32)
+        ids = self.flat[where]
+        return [ids[stops[3 * a] : stops[3 * b]] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode the stems that these pieces bring; for each piece the numbers of its three parts: a line end, the stem, the marks."""
+        stem, out = self.stem, []
+        nothing, line = stem[FIRST], stem[FIRST + "\n"]
+        for p in pieces:
+            before = nothing
+            if p[0] == " ":
+                p = p[1:]  # a stem is named without its space; one that has none is marked
+            elif p[0] == "\n" and self.lines and p[1:2].isalnum():
+                before, p = line, FIRST + p[1:]
+            else:
+                p = FIRST + p
             cut = p.rstrip(MARKS) if self.parts else p
-            if len(cut) < len(p) and cut[-1:].isalnum() and not self.special.search(p):
-                first.append(stem[cut])
-                second.append(stem[FIRST + p[len(cut) :]])
+            if len(cut) < len(p) and cut[-1:].isalnum():
+                out.append((before, stem[cut], stem[FIRST + p[len(cut) :]]))
             else:
-                first.append(stem[p])
-                second.append(nothing)
-        self._encode(list(islice(stem, self.known, None)))
-        self.known = len(stem)
-        return np.array(first, np.int64), np.array(second, np.int64)
+                out.append((before, stem[p], nothing))
+        self._encode(list(islice(stem, self.coded, None)))
+        self.coded = len(stem)
+        return np.array(out, np.int32)
+
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        """Ids of a space and a word of letters or of decimals: the pattern makes one token of each, the library's model does the rest."""
+        model, symbol = self.tok.model.tokenize, self.symbol
+        space = symbol[32]
+        named = [(space, w) if w[0] != FIRST else ("", w[1:]) for w in words]
+        return [[t.id for t in model(s + (w if w.isascii() else w.encode().decode("latin-1").translate(symbol)))] for s, w in named]
 
     def _encode(self, fresh: list[str]) -> None:
-        plain = [k for k, p in enumerate(fresh) if self.joins and _PLAIN.fullmatch(p)]
-        held = set(plain)
+        alone = [k for k, p in enumerate(fresh) if self.alone and ((q := p[1:] if p[:1] == FIRST else p).isalpha() or q.isdecimal())]
+        held = set(alone)
+        plain = [k for k, p in enumerate(fresh) if k not in held and self.joins and _PLAIN.fullmatch(p)]
+        held.update(plain)
         other = [k for k in range(len(fresh)) if k not in held]
         size = np.zeros(len(fresh), np.int64)
-        got, owners = [], []
+        words = self._alone([fresh[k] for k in alone])
+        size[alone] = [len(w) for w in words]
+        got, owners = [np.fromiter(chain.from_iterable(words), np.int64)], alone
         for n in range(0, len(plain), JOINED):
             own = plain[n : n + JOINED]
             ids = np.array(self.tok.encode_batch_fast([" " + "\n ".join([fresh[k] for k in own])], add_special_tokens=False)[0].ids)
@@ -143,13 +208,6 @@ class LibraryEncoder:
         self.flat = np.concatenate((self.flat, flat[shift + np.arange(len(shift))].astype(np.uint32)))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
 
-    def ids(self, number: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        own = np.empty(2 * len(number), np.int64)
-        own[::2], own[1::2] = parts[0][number], parts[1][number]
-        start, size = self.at[own], self.at[own + 1] - self.at[own]
-        shift = np.repeat(start - (np.cumsum(size) - size), size)
-        return self.flat[shift + np.arange(len(shift))]
-
 
 _kept: dict[int, LibraryEncoder] = {}
 
@@ -176,20 +234,19 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "
             payload = rans.encode(np.array(docs_, np.int64), np.array(sizes, np.int64), np.concatenate(ids).astype(np.int64))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs_)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], ["part", "seq", "docs", "tokens", "payload"])
 
-        for batch in batches:
-            if len(coder.stem) > CACHE_STEMS:
+        for wave in waves(batches, "text", WAVE_BYTES):
+            if len(coder.stem) > CACHE_STEMS or len(coder.known) > 2 * CACHE_STEMS:
                 coder.clear()
-            coder.fresh_pieces()
-            numbers = [coder.numbers(t or "") for t in batch.column("text").to_pylist()]
-            parts = coder.learn()
-            for doc, number in zip(batch.column("doc_id").fill_null(NULL_ID).to_pylist(), numbers):
-                own = np.append(coder.ids(number, parts), np.uint32(end_id))
+            texts = pa.concat_arrays([batch.column("text") for batch in wave])
+            for doc, own in zip([d for batch in wave for d in batch.column("doc_id").fill_null(NULL_ID).to_pylist()], coder.encode(texts)):
+                own = np.append(own, np.uint32(end_id))
                 ids.append(own)
                 docs_.append(doc)
                 sizes.append(len(own))
                 held += len(own)
                 if held >= SEGMENT:
                     yield segment()
+                    release()
                     seq, ids, docs_, sizes, held = seq + 1, [], [], [], 0
         if docs_:
             yield segment()
@@ -231,5 +288,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
 def read_token_files(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers)."""
     segments = spark.read.schema(CONTAINER).parquet(folder)
-    docs = decode_segments(segments)
-    return docs.join(starts(segments), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("place")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    before = starts(segments)
+    if segments.select("part").count() <= MOST_BROADCAST:  # a row of three numbers a segment; else Spark joins by a shuffle
+        before = F.broadcast(before)
+    docs = decode_segments(segments).join(before, ["part", "seq"])
+    return docs.select("doc_id", (F.col("before") + F.col("place")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
