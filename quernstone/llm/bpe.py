@@ -33,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._env import ship
+from quernstone.llm._env import release, ship
 
-WAVE_BYTES = 9_000_000
-CACHE_WORDS = 200_000
+WAVE_BYTES = 7_000_000
+CACHE_WORDS = 150_000
 MOST_MODEL_BYTES = 64_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -261,6 +261,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             coder.learn()
             for batch, own in zip(wave, numbers):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([coder.ids(x).tobytes() for x in own], pa.binary())], ["doc_id", "ids"])
+            release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
