@@ -53,6 +53,17 @@ def estimate(sample: DataFrame, value: str, predicate: Column | None = None, con
     return sample.agg(F.sum(w).alias("count"), spread(w).alias("count_ci"), F.sum(v).alias("sum"), spread(v).alias("sum_ci"), (F.sum(v) / F.nullif(F.sum(w), F.lit(0.0))).alias("avg"))
 
 
+def coverage(df: DataFrame, key: str, value: str, m: int, seeds: range, confidence: float = 0.95, kind: str = "sensitivity") -> float:
+    """Share of the samples' intervals that hold the true sum: one sample a seed, all in one job."""
+    truth = df.agg(F.sum(value).alias("_t"))
+    every = None
+    for seed in seeds:
+        sample = sensitivity_coreset(df, key, value, m, seed) if kind == "sensitivity" else uniform_coreset(df, key, m, seed)
+        one = estimate(sample, value, confidence=confidence).select("sum", "sum_ci")
+        every = one if every is None else every.unionAll(one)
+    return every.crossJoin(F.broadcast(truth)).agg(F.avg((F.abs(F.col("sum") - F.col("_t")) <= F.col("sum_ci")).cast("double"))).first()[0]
+
+
 def coreset_size(epsilon: float, delta: float, vc: int = 1) -> int:
     return math.ceil((vc + math.log(1 / delta)) / epsilon**2)
 

@@ -29,6 +29,11 @@ def percentile(event: str, arrival: str, key: str | None, q: float, last: int =
     return F.max(event).over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.least(F.greatest(lag, F.lit(low)), F.lit(high))
 
 
+def global_watermark(df: DataFrame, column: str, key: str) -> DataFrame:
+    """One row: the least of the keys' largest watermarks, for a batch (use it in foreachBatch and feed it back)."""
+    return df.groupBy(key).agg(F.max(column).alias("_m")).agg(F.min("_m").alias(column))
+
+
 def monotone(df: DataFrame, column: str, arrival: str, event: str, key: str | None = None) -> DataFrame:
     w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(arrival, event).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(column, F.max(column).over(w))

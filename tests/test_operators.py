@@ -211,3 +211,20 @@ def test_advice():
 def test_ntile_matches_window(spark):
     w = Window.orderBy("id")
     assert spark.range(10).select(F.ntile(3).over(w).alias("n")).groupBy("n").count().count() == 3
+
+
+def test_betweenness_and_weights(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 4, 3.0)], "src long, dst long, weight double")
+    assert rows(graph.betweenness(e)) == [(1, 0.0), (2, 1.0), (3, 0.0), (4, 0.0)]
+    r = dict(rows(graph.pagerank(e, 1, tolerance=0.0, weight="weight")))
+    assert r[4] > r[2]
+
+
+def test_interval_coverage(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 97 + 1).cast("double").alias("v"))
+    assert approx.coverage(df, "id", "v", 300, range(8), 0.999) >= 0.85
+
+
+def test_global_watermark(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 9.0), ("b", 7.0)], "k string, w double")
+    assert watermarks.global_watermark(df, "w", "k").first()[0] == 7.0
