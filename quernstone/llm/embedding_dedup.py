@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._chunks import NO_ID
 from quernstone.llm._components import components, forest
-from quernstone.llm._env import ship, written
+from quernstone.llm._env import release, ship, written
 
 SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 2, 2500, 0.85
-DEGREE, BEAM, ALPHA, SLACK, QUERIES = 16, 24, 1.2, 0.05, 1024
+DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS = 16, 24, 1.2, 0.05, 512, 2_000_000
 NEIGHBOURS = "vec_id long, near array<long>"
 FOUND = "vec_id long, a long, b long, n long"
 
@@ -162,8 +162,8 @@ def build(x: np.ndarray, seed: int = 1) -> np.ndarray:
     return graph
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
-    """Query and vector of all pairs with a similarity of at least low that the widening search meets."""
+def range_search(x: np.ndarray, graph: np.ndarray, wide: np.ndarray, q: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Query and vector of all pairs with a similarity of at least low that the widening search meets.  wide: the graph with edges both ways."""
     n, m = len(q), len(x)
     ids, sim = beam_search(x, graph, medoid(x), q)
     seen = np.zeros(n * m, bool)
@@ -173,8 +173,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, low: float) ->
     found = [flat]
     while len(flat):
         parts = []
-        for part in np.array_split(flat, max(1, len(flat) // 100_000)):
-            near = graph[part % m]
+        for part in np.array_split(flat, 1 + len(flat) * wide.shape[1] // CELLS):  # hubs make wide rows
+            near = wide[part % m]
             to = ((part // m)[:, None] * m + near)[near >= 0]
             to = np.unique(to[~seen[to]])
             seen[to] = True
@@ -223,12 +223,16 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
     source = np.repeat(np.arange(len(ids)), [len(y or []) for y in lists])
     at = by[np.minimum(np.searchsorted(ids[by], flat), len(ids) - 1)]
     here = ids[at] == flat
-    graph = both_ways(len(ids), source[here], at[here])
+    source, at = source[here], at[here]
+    many = np.bincount(source, minlength=len(ids))
+    graph = np.full((len(ids), max(1, int(many.max()))), -1, np.int64)
+    graph[source, np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)] = at
+    wide = both_ways(len(ids), source, at)
     small = x.astype(np.float32)
     count, a, b = np.zeros(len(who), np.int64), [], []
     for n in range(0, len(who), QUERIES):
         part = q[n : n + QUERIES]
-        i, j = range_search(small, graph, part.astype(np.float32), threshold - SLACK)
+        i, j = range_search(small, graph, wide, part.astype(np.float32), threshold - SLACK)
         for s in range(0, len(i), 1 << 18):
             u, v = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
             ok = (np.einsum("nd,nd->n", part[u], x[v]) >= threshold) & (who[n + u] != ids[v])
@@ -239,6 +243,7 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
             b.append(fb)
     empty = np.zeros(0, np.int64)
     fa, fb = forest(np.concatenate([*a, empty]), np.concatenate([*b, empty]))
+    release()
     some = np.flatnonzero(count)
     pad = np.full(len(some), -1)
     return pa.table({"vec_id": pa.array(np.concatenate((who[some], np.full(len(fa), -1))), pa.int64()), "a": pa.array(np.concatenate((pad, fa)), pa.int64()), "b": pa.array(np.concatenate((pad, fb)), pa.int64()), "n": pa.array(np.concatenate((count[some], np.zeros(len(fa), np.int64))), pa.int64())})
