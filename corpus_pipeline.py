@@ -33,7 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, _table(spark, sf_dir, "labels").filter(held_out("doc_id", 5) != 0))
-    return toxicity_scores(docs, model).filter("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # whatever the other columns are called
+    return toxicity_scores(rows, model).filter("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
