@@ -267,7 +267,7 @@ def private(spark, sf):
 
 
 # Quality, drift, reconciliation, risk.
-@query("dq_completeness", "SELECT 'c_mktsegment' AS \"column\", 1.0 AS completeness, round(count(DISTINCT c_mktsegment) / count(c_mktsegment), 6) AS uniqueness FROM customer UNION ALL SELECT 'c_custkey', 1.0, round(count(DISTINCT c_custkey) / count(c_custkey), 6) FROM customer")
+@query("dq_completeness", "SELECT 'c_mktsegment' AS \"column\", CAST(1 AS DOUBLE) AS completeness, round(count(DISTINCT c_mktsegment) / count(c_mktsegment), 6) AS uniqueness FROM customer UNION ALL SELECT 'c_custkey', CAST(1 AS DOUBLE), round(count(DISTINCT c_custkey) / count(c_custkey), 6) FROM customer")
 def dq(spark, sf):
     return quality.completeness(table(spark, sf, "customer"), ["c_mktsegment", "c_custkey"]).select("column", F.col("completeness").cast("double").alias("completeness"), F.round("uniqueness", 6).alias("uniqueness"))
 
