@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.windows import global_row_number
+
 
 def vwap(price: str, volume: str) -> Column:
     """Volume-weighted average price; the plain average without volume."""
@@ -43,10 +45,8 @@ def concentration(df: DataFrame, key: str, value: str, top: int = 3) -> DataFram
     """One row: Herfindahl index, Gini coefficient and share of the top keys, of the keys' totals."""
     t = df.groupBy(key).agg(F.sum(value).alias("v"))
     total = t.agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    # The rank over all keys stands on a window of one row a key.
-    w = Window.orderBy("v", key)
-    r = t.withColumn("i", F.row_number().over(w)).withColumn("back", F.row_number().over(Window.orderBy(F.desc("v"), key)))
-    r = r.crossJoin(F.broadcast(total))  # one row
+    r = global_row_number(t, ["v", key], "i").crossJoin(F.broadcast(total))  # one row
+    r = r.withColumn("back", F.col("n") - F.col("i") + 1)
     gini = 2 * F.sum(F.col("i") * F.col("v")) / (F.max("n") * F.max("s")) - (F.max("n") + 1) / F.max("n")
     return r.agg(F.sum((F.col("v") / F.col("s")) ** 2).alias("hhi"), gini.alias("gini"), F.sum(F.when(F.col("back") <= top, F.col("v") / F.col("s")).otherwise(0.0)).alias("top_share"))
 

@@ -8,6 +8,8 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.windows import global_row_number
+
 
 def merge_scd1(base: DataFrame, updates: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """Upsert: the latest row of each key; of equal sequences the update wins."""
@@ -136,8 +138,7 @@ def z_order(df: DataFrame, columns: list[str], partitions: int, bits: int = 16)
 
 def pages_scanned(df: DataFrame, order: list[str], page: int, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Pages of ``page`` rows, in this order, whose minima and maxima a box query must read: one row, pages and scanned."""
-    w = Window.orderBy(*order)
-    p = df.withColumn("_p", F.floor((F.row_number().over(w) - 1) / page)).groupBy("_p").agg(*[F.min(c).alias(f"lo_{c}") for c in ranges], *[F.max(c).alias(f"hi_{c}") for c in ranges])
+    p = global_row_number(df, order, "_rn").withColumn("_p", F.floor((F.col("_rn") - 1) / page)).groupBy("_p").agg(*[F.min(c).alias(f"lo_{c}") for c in ranges], *[F.max(c).alias(f"hi_{c}") for c in ranges])
     hit = F.lit(True)
     for c, (lo, hi) in ranges.items():
         hit = hit & (F.col(f"hi_{c}") >= lo) & (F.col(f"lo_{c}") <= hi)

@@ -75,12 +75,13 @@ class SegmentLog:
             return 0
 
     def append(self, df, order: str) -> int:
-        """Offsets follow the order; the numbering is one window over the appended rows, so append in bounded batches."""
-        from pyspark.sql import Window
+        """Offsets follow the order; the first one is returned."""
         from pyspark.sql import functions as F
 
+        from quernstone.operators.windows import global_row_number
+
         first = self.end()
-        df.withColumn("offset", F.row_number().over(Window.orderBy(order)).cast("long") - 1 + first).write.mode("append").parquet(self.path)
+        global_row_number(df, [order], "offset").withColumn("offset", F.col("offset") - 1 + first).write.mode("append").parquet(self.path)
         return first
 
     def read(self, start: int = 0, stop: int | None = None):
