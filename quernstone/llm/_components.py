@@ -1,8 +1,8 @@
 """Connected components of an undirected graph, distributed: alternating large-star and small-star rounds.
 
 Every round is two minima per node and two joins; a node with very many
-neighbours is pre-aggregated before the shuffle, and adaptive execution splits
-its rows in the joins.  No part of the graph is collected.  Each round is
+neighbours is pre-aggregated before the minima, and its rows are dealt over SALTS
+tasks in the joins.  No part of the graph is collected.  Each round is
 written to the shared folder, so a lost executor costs one round at most.
 """
 
@@ -44,13 +44,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[root[own]]
 
 
+SALTS = 16
+
+
+def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (u, v) with the m of u in least (u, m), dealt by u and a hash of v."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    every = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # A merge join: Spark would judge the copies by the size of the one they come from and broadcast them.
+    return pairs.withColumn("salt", salt).join(every.hint("merge"), ["u", "salt"]).drop("salt")
+
+
 def _star(pairs: DataFrame) -> DataFrame:
     """pairs (u, v), u > v.  One large-star and one small-star."""
     both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    large = _with_least(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+    small = _with_least(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
     return small.filter("u > v").distinct()
 
 
