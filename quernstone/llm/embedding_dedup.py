@@ -9,10 +9,17 @@
    searches the graph so far from the medoid, keeps a robust-pruned list of
    neighbours, and neighbours get it back and are pruned, too.
 3. The lists that a vector got in its shards are united, and edges searched both ways.
-4. Each vector is a query in every block of its nearest shard: a greedy search
-   from the medoid, then a widening one, which goes on from every vector found
-   within ``threshold - SLACK`` until no new one turns up.  What is found counts
-   only by the cosine in double precision.
+4. Each vector is a query in every block of all shards whose centre can be the
+   nearest one of a vector within ``threshold`` (``within_reach``: no link is out
+   of reach, however many shards that takes): a greedy search from the medoid,
+   then a widening one, which goes on from every vector found within ``threshold
+   - SLACK`` until no new one turns up.  What is found counts only by the cosine
+   in double precision, and only in the shard of its own nearest centre, so once.
+
+Vectors that gather around centres are asked in few shards.  Those without any
+such structure are asked in a share of all shards (half of them at 64 dimensions
+and 48 centres), and the searches then grow with the square of the table; at most
+``ASKED`` of a block's queries, about, are in one task.
 
 A task returns the number of links of each query and a spanning tree of them, so
 large groups of near copies give no list of pairs; components of the trees join
@@ -36,7 +43,7 @@ from quernstone.llm._components import components, forest
 from quernstone.llm._env import release, ship, written
 
 SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 2, 2500, 0.85
-DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS = 16, 24, 1.2, 0.05, 512, 2_000_000
+DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS, ASKED = 16, 24, 1.2, 0.05, 512, 2_000_000, 10_000
 NEIGHBOURS = "vec_id long, near array<long>"
 FOUND = "vec_id long, a long, b long, n long"
 
@@ -76,6 +83,18 @@ def centres(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
+def within_reach(sim: np.ndarray, c: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """Of queries (rows) with these similarities to the centres and this nearest one, the centres that can be the nearest of a vector at a cosine of at least threshold.
+
+    Such a vector lies on the other side of the plane between both centres, and
+    the angle of the query to that plane is at most that of the threshold.
+    """
+    if threshold <= 0:
+        return np.ones(sim.shape, bool)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+    return sim[np.arange(len(sim)), home][:, None] - sim <= np.sqrt(max(0.0, 1 - threshold**2)) * apart + 1e-9
+
+
 def robust_prune(x: np.ndarray, point: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """For each point (a row of cand, -1 for none) at most DEGREE candidates, nearest first, dropping those that a kept one is ALPHA times closer to."""
     cand = np.where(cand == point[:, None], -1, cand)
@@ -216,6 +235,7 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
     if not block.num_rows or not asked.num_rows:
         return none
     ids, x = _members(block)
+    home = block["home"].to_numpy()
     who, q = _members(asked)
     lists = block["near"].to_pylist()
     by = np.argsort(ids, kind="stable")
@@ -237,7 +257,7 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
             u, v = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
             ok = (np.einsum("nd,nd->n", part[u], x[v]) >= threshold) & (who[n + u] != ids[v])
             u, v = u[ok], v[ok]
-            count[n : n + len(part)] += np.bincount(u, minlength=len(part))
+            count[n : n + len(part)] += np.bincount(u[home[v]], minlength=len(part))
             fa, fb = forest(who[n + u], ids[v])
             a.append(fa)
             b.append(fb)
@@ -281,25 +301,37 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 if not len(own):
                     continue
                 first, c = held.value.get(length, (-length, None))  # a length that the sample missed is a shard of its own
-                near = np.zeros((len(own), 1), np.int64) if c is None else np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+                if c is None:
+                    near, reach = np.zeros((len(own), 1), np.int64), np.ones((len(own), 1), bool)
+                else:
+                    sim = x @ c.T
+                    near = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]
+                    reach = within_reach(sim, c, near[:, 0], threshold)
                 w = near.shape[1]
+                asks = [a for r in reach for a in (np.flatnonzero(r) + first, *[None] * (w - 1))]
                 data = [v.tobytes() for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array((near + first).ravel(), pa.int64()), pa.array(np.tile(np.arange(w) == 0, len(own))), pa.array(np.repeat(ids[own], w), pa.int64()), pa.array([d for d in data for _ in range(w)], pa.binary())], ["shard", "nearest", "vec_id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array((near + first).ravel(), pa.int64()), pa.array(np.tile(np.arange(w) == 0, len(own))), pa.array(np.repeat(ids[own], w), pa.int64()), pa.array([d for d in data for _ in range(w)], pa.binary()), pa.array(asks, pa.list_(pa.int64()))], ["shard", "nearest", "vec_id", "unit", "asks"])
 
-    placed = rows.mapInArrow(place, "shard long, nearest boolean, vec_id long, unit binary")
+    placed = rows.mapInArrow(place, "shard long, nearest boolean, vec_id long, unit binary, asks array<long>")
     blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
     placed = written(placed.join(blocks, "shard"), "placed")
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block")
-    members = placed.select("shard", block, "vec_id", "unit")
+    members = placed.select("shard", block, "vec_id", "unit", F.col("nearest").alias("home"))
     lists = members.groupBy("shard", "block").applyInArrow(_graph, NEIGHBOURS)
     united = written(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
-    index = members.join(united, "vec_id").select("shard", "block", F.lit(0).alias("kind"), "vec_id", "unit", "near")
-    asked = placed.filter("nearest").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "unit", F.lit(None).cast("array<long>").alias("near"))
+    shapes = placed.select("shard", "blocks").distinct()
+    pieces = placed.select(F.explode("asks").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
+    shapes = F.broadcast(shapes.join(pieces, "shard"))  # one row a shard
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = members.join(united, "vec_id").join(shapes, "shard").select("shard", "block", each("pieces").alias("piece"), F.lit(0).alias("kind"), "vec_id", "unit", "near", "home")
+    asked = placed.filter("nearest").select(F.explode("asks").alias("shard"), "vec_id", "unit").join(shapes, "shard")
+    piece = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int").alias("piece")
+    asked = asked.select("shard", each("blocks").alias("block"), piece, F.lit(1).alias("kind"), "vec_id", "unit", F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("home"))
 
     def search(table):
         return _search(table, threshold)
 
-    found = written(index.unionAll(asked).groupBy("shard", "block").applyInArrow(search, FOUND), "found")
+    found = written(index.unionAll(asked).groupBy("shard", "block", "piece").applyInArrow(search, FOUND), "found")
     joined = components(found.filter("n = 0").select("a", "b"), "vectors")
     counts = found.filter("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(joined.withColumnRenamed("id", "vec_id"), "vec_id", "left")

@@ -303,6 +303,20 @@ def test_embeddings(spark):
     assert recall(df.filter("vec_id < 460"), out.filter("vec_id < 460"), every=5) >= 0.9
 
 
+def test_embedding_partners_of_other_shards(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(800, 16)))
+    aside = rng.normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    both = np.concatenate((x, 0.951 * x + np.sqrt(1 - 0.951**2) * aside))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_links(df).collect()}
+    true = (both @ both.T >= 0.95).sum(axis=1) - 1
+    mine = np.array([got[k].n_links for k in range(len(both))])
+    assert (mine <= true).all() and mine.sum() >= 0.98 * true.sum()
+
+
 def test_factorization_learns_pairs():
     rng = np.random.default_rng(0)
     texts, label = [], []
