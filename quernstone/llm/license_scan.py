@@ -1,8 +1,12 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends and after . ! ? ; : before white
-space), each is normalised (lower case, every run of other characters than
-letters and digits one space) and looked up in a table of licence sentences.
+A text is cut into sentences (after . ! ? ; : before white space, at lines without
+letters and digits, and after list marks such as "(a)" or "2)" that begin a line)
+and these into lines; each line is normalised (lower case, every run of other
+characters than letters and digits one space).  A licence sentence is a run of
+consecutive lines of one sentence that, joined by spaces, is an entry of a table of
+licence sentences: wrapped texts count, and so do notices on a line of their own.
+Runs are taken from the left, the longest first, and do not overlap.
 The identifiers found, in order, form the document's sequence; the ordered rules
 are runs of identifiers.  The first rule that occurs is taken out of the sequence
 wherever it stands before the next is tried, so a licence's whole text is not
@@ -68,6 +72,7 @@ RULES = [
 ]
 ANCHORS = ("licen", "permission", "redistribut", "warrant", "copyright")
 CUT = r"([.!?;:])[ \t\r\n]+"
+MARK = r"(?<![^\n|])[^a-z0-9\n|]*(?:[0-9]{1,2}|[a-z])[)][ \t]+"
 
 
 def normalised(text: str) -> str:
@@ -94,8 +99,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = F.contains(text, F.lit(a)) if some is None else some | F.contains(text, F.lit(a))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter(some)
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    cut = F.split(F.regexp_replace("text", CUT, "$1\n"), "\n")
-    names = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+    # | ends a sentence, a line end stays one.
+    cut = F.regexp_replace(F.translate("text", "|", "-"), CUT, "|")
+    cut = F.regexp_replace(F.regexp_replace(cut, r"\n[^a-z0-9|]*\n", "|"), MARK, "|")
+    lines = F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\n|]+", " "), r" *([\n|]) *", "$1"))
+    longest = sorted(table, key=lambda t: (-len(t), t))
+    one_of = "|".join(r"[ \n]".join(map(re.escape, t.split(" "))) for t in longest)
+    runs = F.regexp_extract_all(lines, F.lit(rf"(?<![^\n|])(?:{one_of})(?![^\n|])"), F.lit(0))
+    names = F.transform(runs, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
     found = rows.select("doc_id", F.filter(names, lambda x: x.isNotNull()).alias("ids")).filter(F.size("ids") > 0)
     state = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("seq"))
     counts = []
@@ -113,7 +124,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, over documents."""
+    """The same in DuckDB's SQL, over documents, for sentences that are not wrapped."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({q(k)}, {q(v)})" for k, v in sentence_table().items())
     steps = ["s0 AS (SELECT doc_id, n AS n_sentences, seq AS q0 FROM seq)"]

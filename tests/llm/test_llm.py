@@ -237,6 +237,29 @@ def test_licenses(spark):
     assert got == [(1, "CC-BY-NC-4.0", 1, 5), (1, "MIT", 2, 5)]
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    whole = {
+        "MIT": ["mit_grant", "", "mit_condition"],
+        "BSD-3-Clause-or-2-Clause": ["bsd_grant", "", "bsd_source", "bsd_binary"],
+        "ISC": ["isc_grant"],
+        "GPL-family": ["gpl_warranty", "gpl_copy"],
+        "MPL-2.0": ["mpl2_notice"],
+    }
+    rows, want = [], []
+    for k, (name, parts) in enumerate(whole.items()):
+        for j, (head, width, end) in enumerate((("", 78, "\n"), (" * ", 40, "\n"), ("// ", 60, "\r\n"))):
+            lines = [head + x for p in parts for x in (textwrap.wrap(("(b) " if p == "bsd_binary" else "") + SENTENCES[p], width) if p else [""])]
+            rows.append((10 * k + j, end.join([head + "Copyright 2020 someone", head, *lines, head, head + "THE END"])))
+            want.append((10 * k + j, name, 1, sum(map(bool, parts))))
+    rows += [(90, "Released under\n\nthe MIT License."), (91, "Released. under\nthe MIT License."), (92, "Licensed under the Apache License, Version 2.0\n(the \"License\");\nyou may not use this file except\nin compliance with the License.")]
+    # In the first two only the name, on a line of its own.
+    want += [(90, "MIT", 1, 1), (91, "MIT", 1, 1), (92, "Apache-2.0", 1, 2)]
+    got = sorted(map(tuple, license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(want)
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(4)
     item = [f"term{k}" for k in rng.integers(0, 10_000, 40)]
