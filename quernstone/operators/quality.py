@@ -149,18 +149,21 @@ def js_divergence(reference: DataFrame, current: DataFrame, column: str, bins: i
     return j.agg((0.5 * F.sum(part("p")) + 0.5 * F.sum(part("q"))).alias("js"))
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str, bins: int = 4096) -> DataFrame:
-    """Kolmogorov-Smirnov statistic on at most ``bins`` distinct steps: exact up to so many distinct values, else on quantile steps."""
+def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """Kolmogorov-Smirnov statistic, exact at any size: ranges of the distinct values are summed up apart, and each adds the counts of those before it.
+
+    The ranges are persisted, so both passes see the same ones; the only window
+    over everything has one row a range.
+    """
     both = reference.select(F.col(column).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(current.select(F.col(column).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v IS NOT NULL")
-    distinct = both.select("v").distinct().limit(bins + 1).count()
-    if distinct > bins:
-        cuts = both.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 100 * bins).alias("c"))
-        both = both.crossJoin(F.broadcast(cuts)).withColumn("v", F.size(F.filter("c", lambda x: x < F.col("v"))).cast("double"))
     step = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # At most ``bins`` + 1 rows: one window over them all is small at any size of input.
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return step.select(F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)).alias("d")).agg(F.max("d").alias("ks"))
+    ranged = step.repartitionByRange("v").withColumn("_part", F.spark_partition_id()).persist()
+    w, ahead = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.select("_part", F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
+    size = ranged.groupBy("_part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
+    before = size.select("_part", *[(F.sum(c).over(ahead) - F.col(c)).alias(f"{c}_before") for c in ("pa", "pb")], *[F.sum(c).over(Window.partitionBy()).alias(f"{c}_all") for c in ("pa", "pb")])
+    share = lambda c: (F.col(c) + F.col(f"p{c}_before")) / F.col(f"p{c}_all")
+    return own.join(before, "_part").select(F.abs(share("a") - share("b")).alias("d")).agg(F.max("d").alias("ks"))
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:

@@ -303,6 +303,12 @@ def ks(spark, sf):
     return quality.ks_statistic(e.filter("ts < DATE '2024-01-02'"), e.filter("ts >= DATE '2024-01-30'").withColumn("value", F.col("value") * 1.1), "value").select(F.round("ks", 6).alias("ks"))
 
 
+@query("drift_ks_halves", """WITH t AS (SELECT value AS v, 1 AS a, 0 AS b FROM events WHERE ts < DATE '2024-01-16' UNION ALL SELECT value * 1.1, 0, 1 FROM events WHERE ts >= DATE '2024-01-16'), s AS (SELECT v, sum(a) AS a, sum(b) AS b FROM t GROUP BY v)
+SELECT round(max(d), 6) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER ()) AS d FROM s) x""")
+def ks_halves(spark, sf):
+    return quality.ks_statistic(*_two(spark, sf), "value").select(F.round("ks", 6).alias("ks"))
+
+
 @query("drift_psi")
 def psi(spark, sf):
     return quality.psi(*_two(spark, sf), "value").select(F.round("psi", 6).alias("psi"))
