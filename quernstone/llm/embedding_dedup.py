@@ -1,65 +1,89 @@
 """Near-duplicates among embeddings, by robust-pruned flat graphs over overlapping cluster shards.
 
-1. Centres come from a bounded sample (``SAMPLE`` vectors by a hash of their id):
-   a few rounds of spherical k-means, after which no two centres are closer than
-   a cosine of ``APART``.  Every vector belongs to the shards of its ``OVERLAP``
-   nearest centres; shards of more than ``SHARD`` vectors are cut into blocks by
-   a hash of the id.
-2. Each block builds a flat graph: vectors enter in growing batches, each
+1. Equal vectors form a class (partial aggregation first, so a group of copies that
+   holds a third of all rows is one entry of a task); the rest is done on classes,
+   which carry how many vectors they stand for.
+2. Centres come from a bounded sample (``SAMPLE`` vectors by a hash, at least four
+   a centre): a few rounds of spherical k-means, after which no two centres are
+   closer than a cosine of ``APART``.  There is a centre for every ``PER_CLUSTER``
+   vectors, ``MOST_CLUSTERS`` at most; beyond that every centre's cell is clustered
+   once more from a bounded sample of its own, so shards keep their size.  Every
+   class belongs to the shards of its ``OVERLAP`` nearest centres.  Shards of more
+   than ``SHARD`` classes are cut into blocks by a hash.
+3. Each block builds a flat graph: vectors enter in growing batches, each
    searches the graph so far from the medoid, keeps a robust-pruned list of
    neighbours, and neighbours get it back and are pruned, too.
-3. The lists that a vector got in its shards are united, and edges searched both ways.
-4. Each vector is a query in every block of all shards whose centre can be the
-   nearest one of a vector within ``threshold`` (``within_reach``: no link is out
-   of reach, however many shards that takes): a greedy search from the medoid,
-   then a widening one, which goes on from every vector found within ``threshold
-   - SLACK`` until no new one turns up.  What is found counts only by the cosine
-   in double precision, and only in the shard of its own nearest centre, so once.
-
-Vectors that gather around centres are asked in few shards.  Those without any
-such structure are asked in a share of all shards (half of them at 64 dimensions
-and 48 centres), and the searches then grow with the square of the table; at most
-``ASKED`` of a block's queries, about, are in one task.
+4. The lists that a class got in its shards are united, and edges searched both ways.
+5. Each class is a query in every block of its own shards: a greedy search from the
+   medoid, then a widening one, which goes on from every vector found within
+   ``threshold - SLACK`` until no new one turns up.  What is found counts only by
+   the cosine in double precision, and only in the first shard that both ends
+   share.  Two vectors thus meet if they share one of their ``OVERLAP`` nearest
+   centres, and then from both sides: ``n_links`` is symmetric but for what a graph
+   search misses.
+6. The recall is audited in the run: ``AUDIT`` queries (by a hash of the vector)
+   are compared by brute force with all rows, in blocks, in one pass.
 
 A task returns the number of links of each query and a spanning tree of them, so
 large groups of near copies give no list of pairs; components of the trees join
-the vectors.  ``recall`` compares with brute force over a sample of queries.
-
-Vectors that are null, zero, or hold null or non-finite components link with
-nothing; so do those of different lengths with one another.  Repeated ids are
-kept, never link with themselves and share what is found.  A null id is an id of
-its own that counts as larger than all others.
+the classes.  The work grows with the table, but for a shard of very many different
+vectors that lie within the threshold of one another: these have as many links as
+pairs, and all its blocks are searched.
+
+A vector is a distinct pair of id and components: repeated rows count once and each
+gets the result.  Vectors that share an id and differ are two vectors.  Vectors that
+are null, zero, or hold null or non-finite components link with nothing; so do those
+of different lengths with one another.  A null id is an id of its own that counts as
+larger than all others.  Vectors are told apart by 64-bit hashes of their components.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm._chunks import NO_ID
 from quernstone.llm._components import components, forest
-from quernstone.llm._env import release, ship, written
-
-SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 2, 2500, 0.85
-DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS, ASKED = 16, 24, 1.2, 0.05, 512, 2_000_000, 10_000
-NEIGHBOURS = "vec_id long, near array<long>"
-FOUND = "vec_id long, a long, b long, n long"
-
-
-def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors have a direction, and these at length one, as rows (all of one length)."""
-    ok = []
-    rows = []
-    for v in vectors:
-        x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
-        good = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool((x != 0).any())
-        ok.append(good)
-        if good:
-            x = x / np.abs(x).max()
-            rows.append(x / np.sqrt((x * x).sum()))
-    return np.array(ok, bool), np.stack(rows) if rows else np.zeros((0, 0))
+from quernstone.llm._env import release, removed, ship, written
+
+SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 4, 4000, 0.85
+DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS, ASKED, AUDIT, HOT = 16, 24, 1.2, 0.05, 512, 2_000_000, 10_000, 256, 4096
+NEIGHBOURS = "node long, near array<long>"
+FOUND = "node long, a long, b long, n long"
+PLACED = "node long, rep long, weight long, v binary, shards array<long>"
+log = logging.getLogger(__name__)
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a direction, and these at length one, in double precision."""
+    x = np.asarray(x, np.float64)
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1) if x.size else np.zeros(len(x), bool)
+    x = x[ok]
+    if not len(x):
+        return ok, x
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return ok, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def packed(vectors: pa.Array) -> list[bytes | None]:
+    """The components of each list as bytes; None for lists that are null or hold null or non-finite components or no other than zero."""
+    vectors = vectors.cast(pa.large_list(vectors.type.value_type))
+    at = vectors.offsets.to_numpy()
+    flat = vectors.values
+    gap = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+    x = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    x = x if x.dtype == np.float32 else x.astype(np.float64)
+    x = x + x.dtype.type(0)  # one zero only
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+    some = np.concatenate(([0], np.cumsum(x != 0)))
+    ok = vectors.is_valid().to_numpy(zero_copy_only=False) & (np.diff(gap[at]) == 0) & (np.diff(bad[at]) == 0) & (np.diff(some[at]) > 0)
+    data, width = x.tobytes(), x.itemsize
+    return [data[a * width : b * width] if k else None for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist())]
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
@@ -73,7 +97,7 @@ def centres(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
                 kept.append(i)
         return c[kept]
 
-    c = spread(x)[:k]
+    c = spread(x[:k])
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
         total = np.zeros_like(c)
@@ -83,16 +107,9 @@ def centres(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
-def within_reach(sim: np.ndarray, c: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
-    """Of queries (rows) with these similarities to the centres and this nearest one, the centres that can be the nearest of a vector at a cosine of at least threshold.
-
-    Such a vector lies on the other side of the plane between both centres, and
-    the angle of the query to that plane is at most that of the threshold.
-    """
-    if threshold <= 0:
-        return np.ones(sim.shape, bool)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
-    return sim[np.arange(len(sim)), home][:, None] - sim <= np.sqrt(max(0.0, 1 - threshold**2)) * apart + 1e-9
+def nearest(x: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """For each row the numbers of the centres nearest to it."""
+    return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :most]
 
 
 def robust_prune(x: np.ndarray, point: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> np.ndarray:
@@ -215,32 +232,44 @@ def both_ways(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return graph
 
 
-def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    data = b"".join(table["unit"].to_pylist())
-    return table["vec_id"].to_numpy(), np.frombuffer(data, np.float64).reshape(table.num_rows, -1)
+def _rows(data: list[bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length from their bytes: unit() of them."""
+    return unit(np.frombuffer(b"".join(data), dtype).reshape(len(data), -1))
+
 
+def _members(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
+    return table["node"].to_numpy(), _rows(table["v"].to_pylist(), dtype)[1]
 
-def _graph(table: pa.Table) -> pa.Table:
-    ids, x = _members(table)
+
+def _graph(table: pa.Table, dtype) -> pa.Table:
+    ids, x = _members(table, dtype)
     graph = build(x.astype(np.float32))
     near = [ids[g[g >= 0]] for g in graph]
-    return pa.table({"vec_id": pa.array(ids, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))})
+    return pa.table({"node": pa.array(ids, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))})
+
+
+def _shards(table: pa.Table) -> np.ndarray:
+    """The shards of each row, -1 where there are fewer."""
+    lists = table["shards"].to_pylist()
+    out = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = x
+    return out
 
 
-def _search(table: pa.Table, threshold: float) -> pa.Table:
-    """Rows of kind 0 are the block's vectors with their united lists, of kind 1 the queries."""
+def _search(shard: int, table: pa.Table, threshold: float, dtype) -> pa.Table:
+    """Rows of kind 0 are the block's members with their united lists, of kind 1 the queries; where there are none, the members are the queries."""
     kind = table["kind"].to_numpy()
     block, asked = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
-    none = pa.table({c: pa.array([], pa.int64()) for c in ("vec_id", "a", "b", "n")})
-    if not block.num_rows or not asked.num_rows:
-        return none
-    ids, x = _members(block)
-    home = block["home"].to_numpy()
-    who, q = _members(asked)
-    lists = block["near"].to_pylist()
+    if not asked.num_rows:
+        asked = block
+    ids, x = _members(block, dtype)
+    own, rep, weight = _shards(block), block["rep"].to_numpy(), block["weight"].to_numpy()
+    who, q = _members(asked, dtype)
+    theirs, asker = _shards(asked), asked["rep"].to_numpy()
+    lists = block["near"].combine_chunks()
     by = np.argsort(ids, kind="stable")
-    flat = np.array([i for y in lists for i in (y or [])], np.int64)
-    source = np.repeat(np.arange(len(ids)), [len(y or []) for y in lists])
+    flat, source = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     at = by[np.minimum(np.searchsorted(ids[by], flat), len(ids) - 1)]
     here = ids[at] == flat
     source, at = source[here], at[here]
@@ -257,8 +286,12 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
             u, v = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
             ok = (np.einsum("nd,nd->n", part[u], x[v]) >= threshold) & (who[n + u] != ids[v])
             u, v = u[ok], v[ok]
-            count[n : n + len(part)] += np.bincount(u[home[v]], minlength=len(part))
-            fa, fb = forest(who[n + u], ids[v])
+            mine, other = theirs[n + u], own[v]
+            common = (mine[:, :, None] == other[:, None, :]).any(axis=2) & (mine >= 0)
+            first = np.where(common, mine, NO_ID).min(axis=1) == shard
+            u, v = u[first], v[first]
+            count[n : n + len(part)] += np.bincount(u, weights=weight[v], minlength=len(part)).astype(np.int64)
+            fa, fb = forest(asker[n + u], rep[v])
             a.append(fa)
             b.append(fb)
     empty = np.zeros(0, np.int64)
@@ -266,84 +299,165 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
     release()
     some = np.flatnonzero(count)
     pad = np.full(len(some), -1)
-    return pa.table({"vec_id": pa.array(np.concatenate((who[some], np.full(len(fa), -1))), pa.int64()), "a": pa.array(np.concatenate((pad, fa)), pa.int64()), "b": pa.array(np.concatenate((pad, fb)), pa.int64()), "n": pa.array(np.concatenate((count[some], np.zeros(len(fa), np.int64))), pa.int64())})
+    return pa.table({"node": pa.array(np.concatenate((who[some], np.full(len(fa), -1))), pa.int64()), "a": pa.array(np.concatenate((pad, fa)), pa.int64()), "b": pa.array(np.concatenate((pad, fb)), pa.int64()), "n": pa.array(np.concatenate((count[some], np.zeros(len(fa), np.int64))), pa.int64())})
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """One row a vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).alias("v"))
-    total = rows.count()
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def _placed(classes: DataFrame, total: int, dtype, most: int, per: int) -> DataFrame:
+    """classes with the shards of each: numbers of its nearest centres, of one level or of two."""
+    spark = classes.sparkSession
+    wanted = total // per
+    k = int(min(most, max(LEAST_CLUSTERS, wanted)))
+    got = classes.select("v").orderBy(F.xxhash64("v", F.lit(5))).limit(max(SAMPLE, 4 * k)).collect()  # bounded by SAMPLE and most
     by_length: dict[int, list] = {}
     for r in got:
-        if r.v is not None:
-            by_length.setdefault(len(r.v), []).append(r.v)
-    k = int(min(MOST_CLUSTERS, max(LEAST_CLUSTERS, total // PER_CLUSTER)))
+        by_length.setdefault(len(r.v), []).append(bytes(r.v))
     points, base = {}, 0
     for length, own in sorted(by_length.items()):
-        x = unit(own)[1]
-        if len(x):
-            c = centres(x, max(1, k * len(own) // len(got)))
-            points[length] = (base, c)
-            base += len(c)
+        c = centres(_rows(own, dtype)[1], max(1, k * len(own) // len(got)))
+        points[length] = (base, c)
+        base += len(c)
     held = spark.sparkContext.broadcast(points)
+    fine = -(-wanted // most) if wanted > most else 1
+    first = OVERLAP if fine == 1 else OVERLAP // 2
 
     def place(batches):
         for batch in batches:
-            ids, vs = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
-            size = np.array([0 if v is None else len(v) for v in vs])
-            for length in np.unique(size[size > 0]).tolist():
+            data = batch.column("v").to_pylist()
+            size = np.array([len(v) for v in data])
+            out: list = [None] * len(data)
+            for length in np.unique(size).tolist():
                 own = np.flatnonzero(size == length)
-                ok, x = unit([vs[i] for i in own])
-                own = own[ok]
-                if not len(own):
-                    continue
-                first, c = held.value.get(length, (-length, None))  # a length that the sample missed is a shard of its own
+                start, c = held.value.get(length, ((1 << 38) + length, None))  # a length that the sample missed is a shard of its own
                 if c is None:
-                    near, reach = np.zeros((len(own), 1), np.int64), np.ones((len(own), 1), bool)
+                    near = np.zeros((len(own), 1), np.int64)
                 else:
-                    sim = x @ c.T
-                    near = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]
-                    reach = within_reach(sim, c, near[:, 0], threshold)
-                w = near.shape[1]
-                asks = [a for r in reach for a in (np.flatnonzero(r) + first, *[None] * (w - 1))]
-                data = [v.tobytes() for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array((near + first).ravel(), pa.int64()), pa.array(np.tile(np.arange(w) == 0, len(own))), pa.array(np.repeat(ids[own], w), pa.int64()), pa.array([d for d in data for _ in range(w)], pa.binary()), pa.array(asks, pa.list_(pa.int64()))], ["shard", "nearest", "vec_id", "unit", "asks"])
-
-    placed = rows.mapInArrow(place, "shard long, nearest boolean, vec_id long, unit binary, asks array<long>")
-    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
-    placed = written(placed.join(blocks, "shard"), "placed")
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block")
-    members = placed.select("shard", block, "vec_id", "unit", F.col("nearest").alias("home"))
-    lists = members.groupBy("shard", "block").applyInArrow(_graph, NEIGHBOURS)
-    united = written(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
-    shapes = placed.select("shard", "blocks").distinct()
-    pieces = placed.select(F.explode("asks").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
-    shapes = F.broadcast(shapes.join(pieces, "shard"))  # one row a shard
+                    near = nearest(_rows([data[i] for i in own], dtype)[1], c, first)
+                for i, x in zip(own, near + start):
+                    out[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "shards"])
+
+    coarse = classes.mapInArrow(place, PLACED)
+    if fine == 1:
+        return coarse
+    # The second level: a cell's own centres, from a bounded sample of it; a large cell is dealt to pieces.
+    coarse = written(coarse, "coarse")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("v", F.lit(6)), "node"))
+    sample = coarse.select(F.col("shards")[0].alias("cell"), "node", "v").withColumn("rank", rank).filter(F.col("rank") <= 4 * most).drop("rank")
+
+    def centre(table):
+        x = _rows(table["v"].to_pylist(), dtype)[1]
+        c = centres(x, max(1, min(fine * 4, table.num_rows // 4)))  # cells differ in size: up to four times the mean
+        return pa.table({"cell": pa.array([table["cell"][0].as_py()] * len(c), pa.int64()), "no": pa.array(np.arange(len(c)), pa.int64()), "c": pa.array([y.tobytes() for y in c], pa.binary())})
+
+    inner = sample.groupBy("cell").applyInArrow(centre, "cell long, no long, c binary")
+    inner = written(inner, "centres")
+    each = coarse.select("node", "rep", "weight", "v", F.explode("shards").alias("cell"))
+    pieces = written(each.groupBy("cell").agg(F.ceil(F.count("*") / (8 * SHARD)).cast("int").alias("pieces")), "pieces")  # one row a cell
+    each = each.join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pieces")).cast("int"))
+    dealt = inner.join(pieces.select("cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")), "cell")
+
+    def assign(key, table, cs):
+        if not table.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "shards": pa.array([], pa.list_(pa.int64()))})
+        cs = cs.sort_by("no")
+        c = np.frombuffer(b"".join(cs["c"].to_pylist()), np.float64).reshape(cs.num_rows, -1) if cs.num_rows else None
+        near = nearest(_rows(table["v"].to_pylist(), dtype)[1], c, OVERLAP // 2) if c is not None else np.zeros((table.num_rows, 1), np.int64)
+        return pa.table({"node": table["node"], "shards": pa.array(list(near + (key[0].as_py() << 24)), pa.list_(pa.int64()))})
+
+    shards = each.groupBy("cell", "piece").cogroup(dealt.groupBy("cell", "piece")).applyInArrow(assign, "node long, shards array<long>")
+    shards = shards.groupBy("node").agg(F.flatten(F.collect_list("shards")).alias("shards"))  # OVERLAP numbers at most
+    return coarse.drop("shards").join(shards, "node").select("node", "rep", "weight", "v", "shards")
+
+
+def _audit(units: DataFrame, counts: DataFrame, threshold: float, dtype) -> float:
+    """Share of the links of AUDIT queries, taken by a hash of the vector, that the search counted; brute force against all rows, in one pass."""
+    spark = units.sparkSession
+    asked = counts.orderBy(F.xxhash64("v", F.lit(9))).limit(AUDIT).select("node", "v", "n_links").collect()  # bounded
+    held = spark.sparkContext.broadcast([(r.node, bytes(r.v)) for r in asked])
+
+    def count(batches):
+        total = np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            data, nodes = batch.column("v").to_pylist(), batch.column("node").to_numpy()
+            weight = batch.column("weight").to_numpy()
+            size = np.array([len(v) for v in data])
+            for length in {len(v) for _, v in held.value}:
+                own, mine = np.flatnonzero(size == length), [k for k, (_, v) in enumerate(held.value) if len(v) == length]
+                if not len(own):
+                    continue
+                sim = _rows([data[i] for i in own], dtype)[1] @ _rows([held.value[k][1] for k in mine], dtype)[1].T
+                same = nodes[own][:, None] == np.array([held.value[k][0] for k in mine])
+                total[mine] += ((sim >= threshold) & ~same).T @ weight[own]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], ["k", "n"])
+
+    true = {r.k: r.n for r in units.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    every = sum(true.values())
+    return sum(min(true.get(k, 0), r.n_links) for k, r in enumerate(asked)) / every if every else 1.0
+
+
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, most_clusters: int = MOST_CLUSTERS, per_cluster: int = PER_CLUSTER, shard: int = SHARD) -> DataFrame:
+    """One row a row: vec_id, n_links, component_id, kept, audited_recall (the same in all rows: of the run's audit, over links between different vectors)."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).alias("v"))
+    dtype = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    if dtype is np.float64:
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed(batch.column("v")), pa.binary())], ["vec_id", "v"])
+
+    units = rows.mapInArrow(pack, "vec_id long, v binary").withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    some = units.filter("v IS NOT NULL")
+    size = some.select("node", "vec_id").distinct().groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = written(some.select("node", "v").dropDuplicates(["node"]).join(size, "node").select("node", "rep", "weight", "v"), "classes")
+    placed = written(_placed(classes, classes.count(), dtype, most_clusters, per_cluster), "placed")
+    shapes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
+    shapes = written(shapes, "shapes")  # one row a shard: Spark broadcasts it only where it is small
+    members = placed.select("*", F.explode("shards").alias("shard")).join(shapes, "shard")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = members.withColumn("block", block)
+
+    def graph(table):
+        return _graph(table, dtype)
+
+    lists = members.select("shard", "block", "node", "v").groupBy("shard", "block").applyInArrow(graph, NEIGHBOURS)
+    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = members.join(united, "vec_id").join(shapes, "shard").select("shard", "block", each("pieces").alias("piece"), F.lit(0).alias("kind"), "vec_id", "unit", "near", "home")
-    asked = placed.filter("nearest").select(F.explode("asks").alias("shard"), "vec_id", "unit").join(shapes, "shard")
-    piece = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int").alias("piece")
-    asked = asked.select("shard", each("blocks").alias("block"), piece, F.lit(1).alias("kind"), "vec_id", "unit", F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("home"))
+    index = members.join(united, "node").select("shard", "block", F.when(F.col("blocks") == 1, 1).otherwise(F.col("pieces")).alias("pieces"), "node", "rep", "weight", "v", "shards", "near")
+    index = index.select("shard", "block", each("pieces").alias("piece"), F.lit(0).alias("kind"), "node", "rep", "weight", "v", "shards", "near")
+    piece = F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int").alias("piece")
+    asked = members.filter("blocks > 1").select("shard", each("blocks").alias("block"), piece, F.lit(1).alias("kind"), "node", "rep", "weight", "v", "shards", F.lit(None).cast("array<long>").alias("near"))
 
-    def search(table):
-        return _search(table, threshold)
+    def search(key, table):
+        return _search(key[0].as_py(), table, threshold, dtype)
 
     found = written(index.unionAll(asked).groupBy("shard", "block", "piece").applyInArrow(search, FOUND), "found")
     joined = components(found.filter("n = 0").select("a", "b"), "vectors")
-    counts = found.filter("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(joined.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    counts = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
+    counted = classes.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    done = written(counted.join(joined, F.col("rep") == F.col("id"), "left").select("node", "v", (F.col("n_links") + F.col("weight") - 1).alias("n_links"), F.col("n_links").alias("others"), "weight", F.coalesce("component", "rep").alias("component")), "results")
+    share = _audit(classes, done.select("node", "v", F.col("others").alias("n_links")), threshold, dtype)
+    log.info("embedding_links: audited recall %.4f", share)
+    for table in (placed, shapes, united, found):
+        removed(spark, table)
+    # Rows of the few large classes are dealt over salts in the join back.
+    hot = done.filter(F.col("weight") > HOT).select("node", F.lit(16).alias("salts"))  # one of HOT rows at most
+    left = units.select("vec_id", "node").join(F.broadcast(hot), "node", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", F.lit(1)).cast("long")))
+    right = done.select("node", "n_links", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("weight") > HOT, 15).otherwise(0).cast("long"))).alias("salt"))
+    out = left.join(right, ["node", "salt"], "left")
     null = F.lit(NO_ID)
     component = F.coalesce("component", "vec_id")
-    return out.select(F.nullif("vec_id", null).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.nullif(component, null).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select(F.nullif("vec_id", null).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.nullif(component, null).alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(share).alias("audited_recall"))
 
 
 def recall(vectors: DataFrame, result: DataFrame, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> float:
-    """Share of brute-force links that the result counts, over queries with ids divisible by ``every``, in blocks against all rows; an audit, for bounded inputs."""
+    """Share of brute-force links that the result counts, over queries with ids divisible by ``every``, in blocks against all rows; for tables that fit the driver."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).collect()
-    ok, x = unit([r.v for r in rows])
+    length = max((len(r.v) for r in rows if r.v is not None), default=0)
+    rows = [r for r in rows if r.v is not None and len(r.v) == length and None not in r.v]
+    ok, x = unit(np.array([r.v for r in rows], np.float64).reshape(len(rows), length))
     ids = np.array([r.id for r in rows])[ok]
     got = {r.vec_id: r.n_links for r in result.collect()}
     asked = np.flatnonzero(ids % every == 0)

@@ -340,6 +340,33 @@ def test_embedding_partners_of_other_shards(spark):
     assert (mine <= true).all() and mine.sum() >= 0.98 * true.sum()
 
 
+def test_embeddings_repeated_rows_and_clashing_columns(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, v, "a", 1, 0.5), (1, v, "a", 1, 0.5), (2, v, "b", 2, 0.5), (3, v, None, 3, 0.5), (4, w, "", 4, 0.5), (4, v, "", 4, 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, node int, n_links double")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_links(df).collect())
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (4, 3, 1, False)]
+
+
+def test_embeddings_large_groups_and_two_levels(spark):
+    """Many equal vectors, many different ones within the threshold (more than a block), and centres of two levels."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(900, 12))
+    dense = base[0] + 0.01 * rng.normal(size=(300, 12))
+    pairs = base[100:500] + 0.05 * rng.normal(size=(400, 12))
+    x = np.concatenate((base, dense, pairs, np.repeat(base[1:2], 700, axis=0)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    for options in ({"shard": 100}, {"most_clusters": 8, "per_cluster": 50}):
+        rows = embedding_links(df, **options).collect()
+        got = {r.vec_id: r.n_links for r in rows}
+        mine = np.array([got[k] for k in range(len(x))])
+        assert (mine <= true).all() and mine.sum() >= 0.97 * true.sum()
+        assert len({r.audited_recall for r in rows}) == 1 and 0.9 <= rows[0].audited_recall <= 1.0
+        assert {r.component_id for r in rows if 900 <= r.vec_id < 1200} == {0} and {r.component_id for r in rows if r.vec_id >= 1600} == {1}
+
+
 def test_factorization_learns_pairs():
     rng = np.random.default_rng(0)
     texts, label = [], []
