@@ -17,14 +17,23 @@ walks is sampled ``SAMPLES`` times at ``PLACES`` of its first ``STEPS`` places;
 every agreement with an item's key, near which at least two thirds of the item's
 next ``LOOK`` terms stand, is a candidate, and an exact edit distance decides.
 
-Items of fewer than ``SHORT`` terms are looked up at every place of every
-document, in whole.  Items without terms leak nowhere.
+Short items (fewer than ``SHORT`` terms) have too little room for a sample of
+places.  They are cut into one piece more than the edits they allow, so one piece
+stands unchanged in any leak; a piece is a window of its own, whose whole embedding
+(no place left out) is the key, and every place of a document is probed.  So no leak
+of a short item is missed.  Items without terms leak nowhere.
 
 Documents stream through one pass without a shuffle; the keys of the items are
-broadcast, in blocks of at most ``BLOCK`` items, one pass a block, so neither
-grows with the documents.  Candidates of one document are verified one by one,
-so no pair of documents is ever formed.  Null texts hold nothing; null item ids
-are kept.
+broadcast, in blocks of at most ``BLOCK`` items and about ``BLOCK_BYTES`` of text, one
+pass a block, so neither grows with the documents.  Candidates of one document are
+verified one by one, so no pair of documents is ever formed; windows that agree with
+very many items (a shared beginning) are compared in slices of ``SLICE`` pairs.
+
+Null and empty texts hold nothing; null item ids are kept; very long texts are read
+whole.  Repeated documents each get their rows, and so does a leak of each of several
+equal items; ties among matches of one item go to the smallest distance, then the
+first place.  Other columns, whatever their names, are not read by ``find_leaks`` and
+unchanged by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -38,7 +47,8 @@ from pyspark.sql import functions as F
 from quernstone.llm._env import ship
 from quernstone.llm._words import U, Words, mix
 
-STRIDE, STEPS, WALKS, SAMPLES, PLACES, SHORT, BLOCK = 4, 16, 4, 4, 4, 8, 20_000
+STRIDE, STEPS, WALKS, SAMPLES, PLACES, SHORT = 4, 16, 4, 4, 4, 14
+BLOCK, BLOCK_BYTES, SLICE = 20_000, 32 << 20, 1 << 18
 LOOK = 12
 LEAKS = "doc_id long, item_id long, start long, distance int, item_words int"
 
@@ -75,6 +85,22 @@ def cgk_keys(term: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tupl
     return out
 
 
+def whole_keys(term: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Keys of windows of ``size`` terms: the first walk's whole embedding, of two steps a term, with a mark after the window's end."""
+    bits = mix(term + U(0x9E3779B97F4A7C15))
+    last, at, key = len(term) - 1, start.copy(), np.full(len(start), U(size))
+    for j in range(2 * size):
+        here = np.minimum(at, last)
+        inside = at < start + size
+        key *= U(0xD6E8FEB86659FD93)
+        key += np.where(inside, term[here], U(1))
+        key ^= key >> U(29)
+        # The walk must have seen every term: from where it could no longer, it goes on.
+        must = (start + size - at) >= 2 * size - j
+        at += (must | ((bits[here] >> U(j & 63)) & U(1)).astype(bool)).astype(np.int64)
+    return mix(key)
+
+
 def _terms(texts) -> Words:
     return Words(pc.utf8_lower(texts.cast(pa.large_string())), lower=True, terms=True)
 
@@ -82,7 +108,7 @@ def _terms(texts) -> Words:
 class Items:
     """The keys of a block of items, sorted, with the item and the offset of each."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, max_edit: float):
         w = _terms(pa.array(texts, pa.string()))
         self.ids, self.size = ids, w.counts()
         self.terms = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
@@ -101,13 +127,20 @@ class Items:
             self.tables.append((k[order], row[at], offset[at]))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(np.concatenate([t[0] for t in self.tables]) >> U(44)).astype(np.int64)] = True
-        self.short = {}
-        for n in np.unique(self.size[(self.size > 0) & (self.size < SHORT)]).tolist():
-            own = np.flatnonzero(self.size == n)
-            at, h = w.grams(n)
-            h = h[np.searchsorted(at, w.first[own])]
-            order = np.argsort(h, kind="stable")
-            self.short[n] = h[order], own[order]
+        # size of a piece -> its keys, sorted, with the item and the offset of each
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero((self.size > 0) & (self.size < SHORT)).tolist():
+            many = allowed(int(self.size[i]), max_edit) + 1
+            edges = [k * int(self.size[i]) // many for k in range(many + 1)]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if y > x:
+                    pieces.setdefault(y - x, []).append((i, x))
+        for n, own in sorted(pieces.items()):
+            item, offset = np.array(own, np.int64).T
+            k = whole_keys(w.hash, w.first[item] + offset, n)
+            order = np.argsort(k, kind="stable")
+            self.short[n] = k[order], item[order], offset[order]
 
     def _alike(self, w: Words, item: np.ndarray, start: np.ndarray, offset: np.ndarray) -> np.ndarray:
         """Of windows that agree, those where at least two thirds of the item's next terms stand near by; their item and place."""
@@ -128,19 +161,32 @@ class Items:
         found = [np.zeros((0, 2), np.int64)]
         for (table, item, offset), (own, keys) in zip(self.tables, cgk_keys(w.hash, start, w.first[1:][row[start]])):
             seen = np.flatnonzero(self.maybe[(keys >> U(44)).astype(np.int64)])
-            a, b = np.searchsorted(table, keys[seen], "left"), np.searchsorted(table, keys[seen], "right")
-            n = b - a
-            k = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            found.append(self._alike(w, item[k], np.repeat(start[own[seen]], n), offset[k]))
-        for n, (table, item) in self.short.items():
-            place, h = w.grams(n)
-            a, b = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            m = b - a
-            k = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            found.append(np.stack((item[k], np.repeat(place, m)), axis=1))
+            for k, at in agreeing(table, keys[seen]):
+                found.append(self._alike(w, item[k], start[own[seen[at]]], offset[k]))
+        for n, (table, item, offset) in self.short.items():
+            place = np.flatnonzero(w.first[1:][row] - np.arange(len(row)) >= n)
+            for k, at in agreeing(table, whole_keys(w.hash, place, n)):
+                found.append(np.stack((item[k], place[at] - offset[k]), axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
 
+def agreeing(table: np.ndarray, keys: np.ndarray):
+    """Numbers of the entries of a sorted table and of the keys that agree, in slices of about SLICE pairs."""
+    a, n = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+    n -= a
+    some = np.flatnonzero(n)
+    total = np.cumsum(n[some])
+    for part in np.split(some, np.searchsorted(total, np.arange(SLICE, int(total[-1]) if len(total) else 0, SLICE))):
+        for low in range(0, int(n[part].max()) if len(part) else 0, SLICE):  # a key with more entries than a slice
+            m = np.clip(n[part] - low, 0, SLICE)
+            yield np.repeat(a[part] + low - (np.cumsum(m) - m), m) + np.arange(int(m.sum())), np.repeat(part, m)
+
+
+def allowed(n: int, max_edit: float) -> int:
+    """Edits that a leak of an item of n terms may have."""
+    return int(max_edit * n + 1e-9)
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance of the item to any stretch of the text, and where the first such stretch of least length starts."""
     m = len(text)
@@ -168,7 +214,7 @@ def leaks(items: Items, texts, max_edit: float) -> list[tuple[int, int, int, int
     out: dict[tuple[int, int], tuple[int, int]] = {}
     for item, place in items.candidates(w).tolist():
         n = int(items.size[item])
-        most = int(max_edit * n)
+        most = allowed(n, max_edit)
         # The item may start up to ``most`` terms off; its row is where most of it lies.
         row = int(np.searchsorted(w.first, max(place, 0), side="right") - 1)
         for r in {row, int(np.searchsorted(w.first, min(max(place, 0) + most, len(w.hash) - 1), side="right") - 1)}:
@@ -195,15 +241,11 @@ def leaks(items: Items, texts, max_edit: float) -> list[tuple[int, int, int, int
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edit: float = 0.15) -> DataFrame:
     """One row a document and item that it holds: doc_id, item_id, start (term of the document), distance, item_words."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    blocks = max(1, -(-bench.count() // BLOCK))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for n in range(blocks):
-        got = sorted(bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
-        held = spark.sparkContext.broadcast(Items([r.item_id for r in got], [r.text for r in got]))
+    for held in _item_blocks(bench, max_edit):
 
         def run(batches, held=held):
             items = held.value
@@ -218,7 +260,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item.  Rows with a null id hold nothing that could be joined back, and stay."""
-    bad = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_leaks"], "left_anti")
+def _item_blocks(bench: DataFrame, max_edit: float) -> list:
+    """Broadcasts of the items, in blocks that a hash cuts; at least one."""
+    size = bench.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-size[0] // BLOCK), -(-int(size[1] or 0) // BLOCK_BYTES))
+    out = []
+    for n in range(blocks):
+        got = sorted(bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
+        out.append(bench.sparkSession.sparkContext.broadcast(Items([r.item_id for r in got], [r.text for r in got], max_edit)))
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edit: float = 0.15) -> DataFrame:
+    """docs without the rows whose text holds an item, whatever their ids; rows pass each block of items in place, without a shuffle or a join."""
+    ship(docs.sparkSession)
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    names = docs.columns
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    for held in _item_blocks(bench, max_edit):
+
+        def clean(batches, held=held):
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                stay[[r for r, *_ in leaks(held.value, batch.column("text"), max_edit)]] = False
+                yield batch if stay.all() else batch.filter(pa.array(stay))
+
+        out = out.mapInArrow(clean, out.schema)
+    return out.select("row.*")
