@@ -85,41 +85,63 @@ def encode(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     return head + struct.pack("<I", zlib.crc32(body)) + body
 
 
+class Segment:
+    """A segment opened for decoding: its checksum verified, its table laid out, no id decoded yet."""
+
+    def __init__(self, data: bytes):
+        size = struct.calcsize("<5sBHIQQII")
+        magic, self.scale, self.lanes, self.rows, self.n, docs, self.blocks, symbols = struct.unpack_from("<5sBHIQQII", data)
+        if magic != MAGIC or zlib.crc32(data[size + 4 :]) != struct.unpack_from("<I", data, size)[0]:
+            raise ValueError("not a segment, or a damaged one")
+        fields, at = [], size + 4
+        while at < len(data):
+            m = struct.unpack_from("<Q", data, at)[0]
+            fields.append(data[at + 8 : at + 8 + m])
+            at += 8 + m
+        self.parts = -(-self.rows // EVERY)
+        self.symbol, self.f = unpack(fields[0], symbols).astype(np.int64), unpack(fields[1], symbols)
+        self.doc_ids, self.sizes = np.frombuffer(fields[2], "<i8"), unpack(fields[3], docs).astype(np.int64)
+        length, self.sums = unpack(fields[4], self.blocks).astype(np.int64), unpack(fields[5], self.blocks)
+        start = np.concatenate(([0], np.cumsum(length)[:-1]))
+        self.place = unpack(fields[6], self.blocks * self.parts).astype(np.int64).reshape(self.blocks, self.parts) + start[:, None]
+        self.state = np.frombuffer(fields[7], "<u8").reshape(self.blocks, self.parts, self.lanes)
+        self.words = np.append(np.frombuffer(fields[8], "<u4"), np.uint32(0))
+        self.c = np.concatenate(([U(0)], np.cumsum(self.f)[:-1].astype(np.uint64)))
+        self.slot = np.repeat(np.arange(symbols), self.f.astype(np.int64))
+
+    def run(self, block: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The ids from each of these checkpoints to the next one, as stretches x rows x lanes."""
+        x, place = self.state[block, part].astype(np.uint64), self.place[block, part]
+        rest = np.minimum(EVERY, self.rows - part * EVERY)
+        out = np.zeros((len(block), EVERY, self.lanes), np.int64)
+        lowest = U((1 << self.scale) - 1)
+        for r in range(int(rest.max())):
+            low = x & lowest
+            s = self.slot[low]
+            out[:, r] = s
+            x = self.f[s] * (x >> U(self.scale)) + low - self.c[s]
+            need = (x < LOW) & (r < rest)[:, None]
+            took = np.cumsum(need, axis=1)
+            word = self.words[np.where(need, place[:, None] + took - 1, len(self.words) - 1)]
+            x = np.where(need, (x << U(32)) | word, x)
+            place = place + took[:, -1]
+        return self.symbol[out]
+
+
 def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, their numbers of ids, all ids; every checkpointed stretch of every block at once, checksums verified."""
-    size = struct.calcsize("<5sBHIQQII")
-    magic, scale, lanes, rows, n, docs, blocks, symbols = struct.unpack_from("<5sBHIQQII", data)
-    if magic != MAGIC or zlib.crc32(data[size + 4 :]) != struct.unpack_from("<I", data, size)[0]:
-        raise ValueError("not a segment, or a damaged one")
-    fields, at = [], size + 4
-    while at < len(data):
-        m = struct.unpack_from("<Q", data, at)[0]
-        fields.append(data[at + 8 : at + 8 + m])
-        at += 8 + m
-    parts = -(-rows // EVERY)
-    symbol, f = unpack(fields[0], symbols).astype(np.int64), unpack(fields[1], symbols)
-    doc_ids, sizes = np.frombuffer(fields[2], "<i8"), unpack(fields[3], docs).astype(np.int64)
-    length, sums = unpack(fields[4], blocks).astype(np.int64), unpack(fields[5], blocks)
-    start = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = (unpack(fields[6], blocks * parts).astype(np.int64).reshape(blocks, parts) + start[:, None]).ravel()
-    x = np.frombuffer(fields[7], "<u8").reshape(blocks * parts, lanes).astype(np.uint64)
-    words = np.append(np.frombuffer(fields[8], "<u4"), np.uint32(0))
-    c = np.concatenate(([U(0)], np.cumsum(f)[:-1].astype(np.uint64)))
-    slot = np.repeat(np.arange(symbols), f.astype(np.int64))
-    grid = np.zeros((blocks, parts, EVERY, lanes), np.int64)
-    lowest, rest = U((1 << scale) - 1), np.array([min(EVERY, rows - p * EVERY) for p in range(parts)] * blocks)
-    for r in range(min(EVERY, rows)):
-        low = x & lowest
-        s = slot[low]
-        grid.reshape(blocks * parts, EVERY, lanes)[:, r] = s
-        x = f[s] * (x >> U(scale)) + low - c[s]
-        need = (x < LOW) & (r < rest)[:, None]
-        took = np.cumsum(need, axis=1)
-        word = words[np.where(need, place[:, None] + took - 1, len(words) - 1)]
-        x = np.where(need, (x << U(32)) | word, x)
-        place = place + took[:, -1]
-    ids = symbol[grid.reshape(blocks, parts * EVERY, lanes)[:, :rows].reshape(-1)[:n]]
-    for b in range(blocks):
-        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != int(sums[b]):
+    s = Segment(data)
+    block, part = (x.ravel() for x in np.indices((s.blocks, s.parts)))
+    ids = s.run(block, part).reshape(s.blocks, s.parts * EVERY, s.lanes)[:, : s.rows].reshape(-1)[: s.n]
+    for b in range(s.blocks):
+        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != int(s.sums[b]):
             raise ValueError(f"the checksum of block {b} is wrong")
-    return doc_ids, sizes, ids
+    return s.doc_ids, s.sizes, ids
+
+
+def decode_from(data: bytes, block: int, checkpoint: int) -> tuple[int, np.ndarray]:
+    """The ids from one checkpoint of one block to the next, alone, and the place of the first in the segment."""
+    s = Segment(data)
+    at = (block * s.rows + checkpoint * EVERY) * s.lanes
+    rows = min(EVERY, s.rows - checkpoint * EVERY)
+    return at, s.run(np.array([block]), np.array([checkpoint]))[0, :rows].reshape(-1)[: max(0, s.n - at)]

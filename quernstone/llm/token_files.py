@@ -10,10 +10,14 @@ no second pass over texts and no global count is needed to write.
 
 The library is fast on distinct text only: texts are cut where a run of white
 space starts, which its byte-level pattern always does, too, and each distinct
-piece is encoded once a worker, with a cache of bounded size.
+piece is encoded once a worker, with a cache of bounded size.  Pieces are looked up
+by a hash and then compared byte by byte; texts with a piece whose hash is that of
+another piece are encoded whole.
 
 Null texts are empty: the end id alone.  Null ids come first.  Equal ids stand
-side by side, by text.
+side by side, by a hash of their text, and are dealt over partitions by it, too, so
+rows without an id, however many, need no single task; repeated rows are each
+written.  Very long texts are encoded whole.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,6 +59,20 @@ class _Numbers(dict):
         return n
 
 
+def same_bytes(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Whether the bytes a[a0:a1] are those of b[b0:b1], for each pair of slices, eight at a time; both end in eight spare bytes."""
+    same = a1 - a0 == b1 - b0
+    one, two = (np.ndarray((len(x) - 7,), "<u8", np.ascontiguousarray(x), strides=(1,)) for x in (a, b))
+    own = np.flatnonzero(same)
+    x, y, left = a0[own], b0[own], (a1 - a0)[own]
+    while len(own):
+        bad = ((one[x] ^ two[y]) & MASKS[np.minimum(left, 8)]) != 0
+        same[own[bad]] = False
+        more = ~bad & (left > 8)
+        own, x, y, left = own[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return same
+
+
 class LibraryEncoder:
     """Whole-text encoding of a byte-level tokenizers file by way of distinct pieces and stems.
 
@@ -85,6 +103,7 @@ class LibraryEncoder:
         self.coded = 0
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.known, self.parts_of = np.zeros(0, np.uint64), np.zeros((0, 3), np.int32)
+        self.store, self.place = np.zeros(8, np.uint8), np.zeros((0, 2), np.int64)  # the bytes of the known pieces; where each starts and ends
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
@@ -131,11 +150,18 @@ class LibraryEncoder:
         fresh = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)] != keys) if len(self.known) else np.arange(len(keys))
         if len(fresh):
             data = raw.tobytes()
-            parts = self._learn([data[a:b].decode() for a, b in zip(begin[where[fresh]].tolist(), end[where[fresh]].tolist())])
+            low, high = begin[where[fresh]], end[where[fresh]]
+            slices = [data[a:b] for a, b in zip(low.tolist(), high.tolist())]
+            parts = self._learn([x.decode() for x in slices])
             known = np.concatenate((self.known, keys[fresh]))
             order = np.argsort(known, kind="stable")
-            self.known, self.parts_of = known[order], np.concatenate((self.parts_of, parts))[order]
-        parts = self.parts_of[np.searchsorted(self.known, keys)][number]
+            stop = len(self.store) - 8 + np.cumsum(high - low)
+            place = np.concatenate((self.place, np.stack((stop - (high - low), stop), axis=1)))
+            self.store = np.concatenate((self.store[:-8], np.frombuffer(b"".join(slices), np.uint8), np.zeros(8, np.uint8)))
+            self.known, self.parts_of, self.place = known[order], np.concatenate((self.parts_of, parts))[order], place[order]
+        held = np.searchsorted(self.known, keys)
+        other = doc[~same_bytes(padded, begin, end, self.store, *self.place[held[number]].T)]
+        parts = self.parts_of[held][number]
         if len(tail):
             order = np.argsort(doc, kind="stable")  # a tail comes after its text's words
             parts, doc = parts[order], doc[order]
@@ -146,7 +172,10 @@ class LibraryEncoder:
         where = np.repeat((start - stops[:-1]).astype(np.int32), many)  # both ends are far below 2**31: the cache and a wave are bounded
         where += np.arange(stops[-1], dtype=np.int32)
         ids = self.flat[where]
-        return [ids[stops[3 * a] : stops[3 * b]] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        out = [ids[stops[3 * a] : stops[3 * b]] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        for k in np.unique(other).tolist():  # a piece only hashes like a known one
+            out[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Encode the stems that these pieces bring; for each piece the numbers of its three parts: a line end, the stem, the marks."""
@@ -252,8 +281,9 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     parts = max(12, input_bytes(docs) // 12_000_000)
-    return rows.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, CONTAINER)
+    return rows.repartitionByRange(int(parts), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(run, CONTAINER)
 
 
 def decode_segments(segments: DataFrame) -> DataFrame:

@@ -190,6 +190,39 @@ def test_library_encoder_on_random_texts():
     assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_library_encoder_tells_equal_hashes_apart(monkeypatch):
+    """Runs of white space of equal checksum, and words that all hash alike."""
+    from tokenizers import Tokenizer
+
+    rng, tok, seen, pair = np.random.default_rng(3), Tokenizer.from_file(BYTE_BPE), {}, None
+    for row in rng.integers(0, 2, (400_000, 40)):
+        run = "".join(" \t"[k] for k in row)
+        if seen.setdefault(zlib.crc32(run.encode()), run) != run:
+            pair = seen[zlib.crc32(run.encode())], run
+            break
+    texts = [f"a{r}b{end}" for r in pair for end in ("", "!", " ")] + [f"a b{r}" for r in pair]
+    right = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    coder = LibraryEncoder(B.read_model(BYTE_BPE))
+    for _ in range(2):  # within a wave, and against what is known
+        assert [g.tolist() for g in coder.encode(pa.array(texts))] == right
+    assert [coder.encode(pa.array([t]))[0].tolist() for t in texts] == right
+    monkeypatch.setattr(Words, "_hashes", lambda self, seen: ((self.end - self.start) % 3).astype(np.uint64))
+    texts = ["one two six", "ten two one", "", "x", "alpha beta", "betas al  one", "one"]
+    coder = LibraryEncoder(B.read_model(BYTE_BPE))
+    for _ in range(2):
+        assert [g.tolist() for g in coder.encode(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_decode_from_one_checkpoint():
+    ids = np.random.default_rng(1).zipf(1.3, 150_000) % 5000
+    data = rans.encode(np.arange(3), np.array([50_000] * 3), ids)
+    s = rans.Segment(data)
+    for block in range(s.blocks):
+        for mark in range(s.parts):
+            at, own = rans.decode_from(data, block, mark)
+            assert (own == ids[at : at + len(own)]).all() and (len(own) or at >= len(ids))
+
+
 def test_token_files(spark, edges, empty, tmp_path):
     from tokenizers import Tokenizer
 
