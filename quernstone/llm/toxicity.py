@@ -8,16 +8,19 @@ hashed to ``2**22`` places.  The score is
 over the terms of the text that the model knows; the factors v carry pairs, such
 as an insult with a mention of a group, that additive weights miss.  Training
 runs in numpy on the driver, on a bounded sample (``SAMPLE`` documents of each
-label, taken by a hash of their id, whole texts; their hashed terms are made on
-the executors).  The ``FEATURES`` terms of highest chi-square are learned.  The
-intercept is corrected for the sampling of the labels, whose totals are counted
-over all rows.  Scoring is one pass over whole texts without a shuffle; the model
-is broadcast and has a fixed size.
+label, taken by a hash of their id, whole texts).  Which terms the documents hold is
+counted on the executors, over whole texts however long; the ``FEATURES`` terms of
+highest chi-square are learned, and only which of these each document holds comes to
+the driver.  The intercept is corrected for the sampling of the labels, whose totals
+are counted over all rows.  Scoring is one pass over whole texts without a shuffle;
+the model is broadcast and has a fixed size.
 
 Null and empty texts have no terms: their score is the intercept's.  Labels that
 are null do not count; a document labelled more than once counts as toxic if any
-label says so.  Without labels of both kinds nothing can be learned, and the
-scores are the share of toxic labels (0 where there is none).
+label says so; rows that repeat an id each count and each get their score.  Without
+labels of both kinds nothing can be learned, and the scores are the share of toxic
+labels (0 where there is none).  Ties of chi-square go to the smaller hash.  Other
+columns pass unchanged, but for ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._env import ship
+from quernstone.llm._env import removed, ship, written
 from quernstone.llm._words import Words
 
 PLACES, SAMPLE, FEATURES, FACTORS, STEPS = 1 << 22, 2000, 1024, 8, 150
-MOST_TERMS = 20_000
 
 
 @dataclass
@@ -106,7 +108,8 @@ def fit(texts: list[np.ndarray], label: np.ndarray, odds: float, seed: int = 7)
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
     """Learn from the labelled rows given; at most ``sample`` documents of each label."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     positive, negative = total.get(1, 0), total.get(0, 0)
@@ -116,19 +119,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("id", F.lit(11))
     some = marks.filter("label = 1").orderBy(order, "id").limit(sample).unionAll(marks.filter("label = 0").orderBy(order, "id").limit(sample))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(F.broadcast(some), "id").select("id", "label", "text")  # bounded: 2 * sample rows of two numbers
+    rows = written(text.join(F.broadcast(some), "id").select("id", "label", "text"), "labelled")  # bounded: 2 * sample documents
+    n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
+    if not toxic or toxic == n:
+        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(positive / negative)), np.zeros(0), np.zeros((0, FACTORS)))
+
+    def held(batches):
+        for batch in batches:
+            _, row, term = term_sets(batch.column("text"))
+            own = batch.column("label").to_numpy()[row].astype(float)
+            names, number = np.unique(term, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.bincount(number), pa.int64()), pa.array(np.bincount(number, weights=own).astype(np.int64))], ["term", "held", "toxic"])
+
+    counts = rows.mapInArrow(held, "term long, held long, toxic long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic")).filter("held >= 3")
+    chi = F.pow(F.col("toxic") - F.col("held") * (toxic / n), 2) / F.greatest(F.col("held") * (1 - F.col("held") / (n + 1)), F.lit(1e-9))
+    best = np.array(sorted(r.term for r in counts.orderBy(chi.desc(), "term").limit(FEATURES).select("term").collect()), np.int64)
+    known = spark.sparkContext.broadcast(best)
 
     def terms(batches):
         for batch in batches:
             n, row, term = term_sets(batch.column("text"))
+            some = np.isin(term, known.value)
+            row, term = row[some], term[some]
             at = np.searchsorted(row, np.arange(n + 1))
-            # The terms of smallest hash stand for a document of very many: only training is bounded so.
-            own = [term[a:b][:MOST_TERMS].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:])]
+            own = [term[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(own, pa.binary())], ["id", "label", "terms"])
 
     got = sorted(rows.mapInArrow(terms, "id long, label int, terms binary").collect())
-    if not any(r.label for r in got) or all(r.label for r in got):
-        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(positive / negative)), np.zeros(0), np.zeros((0, FACTORS)))
+    removed(spark, rows)
     return fit([np.frombuffer(r.terms, np.int32).astype(np.int64) for r in got], np.array([float(r.label) for r in got]), positive / negative)
 
 
@@ -150,5 +168,5 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text_col: str
 
 
 def held_out(id_col: str, folds: int):
-    """crc32 of the id as text, modulo folds."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo folds; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
