@@ -4,13 +4,18 @@ Every byte of a text is a position.  A forward and a backward GRU read stretches
 of ``STRETCH`` bytes (each byte of the text is in exactly one), their states
 label every position with a distribution over the languages, and a document's
 probabilities are the mean over all its positions.  The network is trained in
-numpy by backpropagation through time, on the driver, on stretches of a bounded
-sample of labelled documents (``SAMPLE`` of each language, by a hash of their id,
-``STRETCHES`` stretches of each, cut on the executors).  Prediction is one pass
-over whole texts without a shuffle; the model is broadcast and has a fixed size.
+numpy by backpropagation through time, on the driver, on a bounded sample of
+labelled documents (``SAMPLE`` of each language, by a hash of their id; their whole
+texts, in stretches): steps draw a document, then one of its stretches.  One scan
+finds the sample, with a top-k of each language in each task, one fetches its texts.
+Prediction is one pass over whole texts without a shuffle, however long they are; the
+model is broadcast and has a fixed size.
 
 A text that is null or has no letter is ``und`` with score 0.  Languages are the
-labels seen in training, at most ``LANGUAGES`` of them (more is an error).
+labels seen in training, at most ``LANGUAGES`` of them (more is an error); a null
+label or id is not learned from.  Rows that repeat an id each count and each get
+their prediction; ties of probability go to the first language by name.  Other
+columns pass unchanged, but for ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm._env import ship
 
 HIDDEN, STRETCH, SIDE = 8, 96, 4096
-SAMPLE, STRETCHES, STEPS, BATCH, LANGUAGES = 400, 8, 260, 192, 64
+SAMPLE, STEPS, BATCH, LANGUAGES = 400, 260, 192, 64
 f4 = np.float32
 
 
@@ -113,18 +118,21 @@ class ByteGru:
         return total / np.maximum(size, 1)
 
 
-def fit(data: np.ndarray, label: np.ndarray, languages: list[str], seed: int = 5, steps: int = STEPS) -> ByteGru:
-    """data: stretches x STRETCH bytes; label: number of the language of each."""
+def fit(data: np.ndarray, label: np.ndarray, languages: list[str], seed: int = 5, steps: int = STEPS, many: np.ndarray | None = None) -> ByteGru:
+    """data: stretches x STRETCH bytes; label: number of the language of each document; many: of its stretches, which stand together (one each if not given)."""
     rng = np.random.default_rng(seed)
     k = len(languages)
     init = lambda *shape: rng.normal(0, 0.3, shape).astype(f4)
     model = ByteGru(languages, Gru(init(3 * HIDDEN, 256), init(3 * HIDDEN, HIDDEN)), Gru(init(3 * HIDDEN, 256), init(3 * HIDDEN, HIDDEN)), init(k, 2 * HIDDEN), np.zeros(k, f4))
     params = [model.ahead.table, model.ahead.state, model.behind.table, model.behind.state, model.weight, model.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    many = np.ones(len(label), np.int64) if many is None else many
+    start = np.cumsum(many) - many
     groups = [np.flatnonzero(label == c) for c in range(k)]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(g, max(1, BATCH // k)) for g in groups])
-        x, y = data[pick].T, label[pick]
+        y, pick = label[pick], start[pick] + rng.integers(0, many[pick])
+        x = data[pick].T
         a, ga = model.ahead.run(x, True)
         b, gb = model.behind.run(x[::-1], True)
         both = np.concatenate((a, b[::-1]), axis=1)
@@ -150,35 +158,29 @@ def fit(data: np.ndarray, label: np.ndarray, languages: list[str], seed: int = 5
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteGru | None:
     """Learn from the rows given whose language is not null; None if there are none."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL AND text RLIKE '[^\\\\s]'")
-    names = sorted(r.lang for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if not names:
-        return None
-    if len(names) > LANGUAGES:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL")
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    ids = rows.select("id", "lang")
-    order = F.xxhash64("id", F.lit(3))
-    some = None
-    for name in names:  # each a top-k by hash: k rows a task reach the driver's merge
-        own = ids.filter(F.col("lang") == name).orderBy(order, "id").limit(sample)
-        some = own if some is None else some.unionAll(own)
-    picked = rows.join(F.broadcast(some.distinct()), ["id", "lang"])  # bounded: languages * sample rows
+    rows = rows.filter("text RLIKE '[^\\\\s]'")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(3)), "id"))  # Spark keeps sample rows of each language a task
+    some = rows.select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample).select("id", "lang").distinct()
+    picked = rows.join(F.broadcast(some), ["id", "lang"])  # bounded: languages * sample rows
 
     def cut(batches):
         for batch in batches:
-            lang, data = [], []
-            for i, t, name in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                raw = np.frombuffer(t.encode(), np.uint8)
-                rng = np.random.default_rng(i & 0xFFFFFFFF)
-                for s in rng.integers(0, max(1, len(raw) - STRETCH + 1), STRETCHES):
-                    own = raw[s : s + STRETCH]
-                    data.append(np.pad(own, (0, STRETCH - len(own)), constant_values=32).tobytes())
-                    lang.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(data, pa.binary())], ["lang", "data"])
+            data = []
+            for t in batch.column("text").to_pylist():
+                raw = t.encode()
+                data.append(raw + b" " * (-len(raw) % STRETCH))
+            yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), pa.array(data, pa.binary())], ["lang", "data"])
 
     got = sorted(picked.mapInArrow(cut, "lang string, data binary").collect())
+    if not got:
+        return None
+    names = sorted({r.lang for r in got})
     number = {n: k for k, n in enumerate(names)}
-    return fit(np.frombuffer(b"".join(r.data for r in got), np.uint8).reshape(-1, STRETCH), np.array([number[r.lang] for r in got]), names)
+    data = np.frombuffer(b"".join(r.data for r in got), np.uint8).reshape(-1, STRETCH)
+    return fit(data, np.array([number[r.lang] for r in got]), names, many=np.array([len(r.data) // STRETCH for r in got]))
 
 
 def language_id(docs: DataFrame, model: ByteGru | None, text_col: str = "text") -> DataFrame:
