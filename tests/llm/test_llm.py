@@ -275,10 +275,21 @@ def test_wrapped_licenses(spark):
 
     whole = {
         "MIT": ["mit_grant", "", "mit_condition"],
-        "BSD-3-Clause-or-2-Clause": ["bsd_grant", "", "bsd_source", "bsd_binary"],
+        "BSD-2-Clause": ["bsd_grant", "", "bsd_source", "bsd_binary"],
+        "BSD-3-Clause": ["bsd_grant", "", "bsd_source", "bsd_binary", "bsd_names"],
         "ISC": ["isc_grant"],
         "GPL-family": ["gpl_warranty", "gpl_copy"],
         "MPL-2.0": ["mpl2_notice"],
+        "MPL-1.1": ["mpl11_notice", "apache_comply", "apache_copy"],
+        "Apache-2.0": ["apache_header", "apache_comply", "apache_copy", "", "apache_warranty"],
+        "GPL-2.0-or-later": ["gpl_free", "gpl2_later", "", "gpl_warranty", "gpl_copy"],
+        "GPL-3.0-or-later": ["gpl_free", "gpl3_later", "", "gpl_warranty", "gpl_copy"],
+        "GPL-2.0-only": ["gpl_free", "gpl2_only"],
+        "LGPL-2.1-or-later": ["library_free", "lgpl21_later"],
+        "AGPL-3.0-or-later": ["gpl_free", "agpl3_later"],
+        "Unlicense": ["unlicense_public", "", "unlicense_free"],
+        "Zlib": ["zlib_grant"],
+        "BSL-1.0": ["boost_grant"],
     }
     rows, want = [], []
     for k, (name, parts) in enumerate(whole.items()):
@@ -293,6 +304,20 @@ def test_wrapped_licenses(spark):
     assert got == sorted(want)
 
 
+def test_licenses_by_paragraph_and_on_odd_rows(spark):
+    """Sentences of one paragraph filled together, as their texts have them; very long, repeated and null rows; clashing columns."""
+    import textwrap
+
+    gpl = " ".join(SENTENCES[x] for x in ("gpl_free", "gpl2_later"))
+    apache = " ".join(SENTENCES[x] for x in ("apache_header", "apache_comply", "apache_copy"))
+    long = "free words about a license " * 40_000
+    texts = [textwrap.fill(gpl, 70, initial_indent="# ", subsequent_indent="# "), textwrap.fill(apache, 76) + "\n\n   http://www.apache.org/licenses/LICENSE-2.0\n", long + "\n" + SENTENCES["isc_grant"] + "\n" + long, None, ""]
+    rows = [(k, t, "x", 1, [0]) for k, t in enumerate(texts)] + [(0, texts[0], "x", 1, None), (None, texts[0], "x", 1, None)]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string, license string, n_matches int, ids array<int>"))
+    want = [(0, "GPL-2.0-or-later", 1, 2)] * 2 + [(1, "Apache-2.0", 1, 3), (2, "ISC", 1, 1), (None, "GPL-2.0-or-later", 1, 2)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(4)
     item = [f"term{k}" for k in rng.integers(0, 10_000, 40)]
