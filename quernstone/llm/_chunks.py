@@ -1,6 +1,7 @@
 """A distributed index of hashes over chunks of documents.
 
-Documents are dealt to chunks by a hash of their id.  Each chunk states every
+Documents are dealt to chunks by a hash of their id and text, so rows without an id
+or with one id are dealt, too.  Each chunk states every
 *distinct* key once, with one value (pre-aggregation: a key that a third of all
 documents hold makes one entry a chunk, not one a document), sorted, as byte
 planes of differences, cut by key range into buckets.  A bucket combines the
@@ -51,7 +52,7 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int, rest: li
     """chunk, doc_id, text and, if named, the other columns as one; the same plan each time, so that Spark reuses one exchange for all uses within a query."""
     more = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    return row.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "*").repartition("chunk")
+    return row.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "*").repartition("chunk")
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

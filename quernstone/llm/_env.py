@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import quernstone
 
@@ -35,11 +37,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); in tests, where it is unset, a local one is set."""
+    """The folder all executors share (spark.checkpoint.dir); in local mode (tests), where it is unset, one is made; on a cluster that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="quernstone_ckpt")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
@@ -48,24 +52,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what stands there goes when the driver ends, if nothing removes it before."""
+    path = f"{shared_dir(spark).rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_swept, spark)
+    _scratch.add(path)
+    return path
+
+
+_scratch: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _swept(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: the folder's own retention applies
+        return
+    for path in list(_scratch):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is going away
+            return
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
-    jvm = spark.sparkContext._jvm
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of what the plan reads; no job runs.  Only used to choose how many groups to deal rows to."""
+    """Catalyst's size of what the plan reads; where it knows none (rows that come from no file), a job counts the bytes of the texts.
+
+    Only used to choose how many groups to deal rows to.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)  # larger: Spark knows no size
+    if all(0 < x < 1 << 60 for x in sizes):  # larger: Spark knows no size
+        return sum(sizes)
+    texts = [c for c, t in df.dtypes if t in ("string", "binary")]
+    total = sum((F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in texts), F.count("*") * 8)
+    return int(df.agg(total).first()[0])
 
 
 def release() -> None:

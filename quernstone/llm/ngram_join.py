@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import _chunks as C
 from quernstone.llm._components import components, forest
-from quernstone.llm._env import input_bytes, ship, written
+from quernstone.llm._env import input_bytes, removed, ship, written
 from quernstone.llm._words import U, Words, mix
 
 BITS = 48
@@ -296,6 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(linked, "links")
     classes = sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.join(joined, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "classes")
+    removed(spark, clusters)
     out = sets.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
     null = F.lit(C.NO_ID)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), null).alias("component_id"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quernstone.llm._env import shared_dir
+from quernstone.llm._env import scratch
 from quernstone.llm.bpe import bpe_decode, bpe_encode
 from quernstone.llm.chat_format import format_chats, read_chats
 from quernstone.llm.decontaminate import find_leaks
@@ -19,7 +17,6 @@ from quernstone.llm.license_scan import oracle as license_oracle
 from quernstone.llm.ngram_join import jaccard_components
 from quernstone.llm.substring_dedup import substring_dedup
 from quernstone.llm.token_files import read_token_files, write_token_files
-
 from quernstone.llm.toxicity import held_out, toxicity_scores, train
 
 
@@ -55,7 +52,7 @@ def op3_bpe(spark, sf_dir):
 
 
 def op4_token_files(spark, sf_dir):
-    folder = f"{shared_dir(spark).rstrip('/')}/quernstone/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
