@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import rans
 from quernstone.llm._env import input_bytes, release, ship
-from quernstone.llm._words import Words, mix
+from quernstone.llm._words import Words, mix, same_bytes
 from quernstone.llm.bpe import byte_symbols, read_model, waves
 
 SEGMENT, CACHE_STEMS, JOINED, WAVE_BYTES = 1 << 21, 600_000, 2000, 5_000_000
@@ -59,20 +59,6 @@ class _Numbers(dict):
         return n
 
 
-def same_bytes(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """Whether the bytes a[a0:a1] are those of b[b0:b1], for each pair of slices, eight at a time; both end in eight spare bytes."""
-    same = a1 - a0 == b1 - b0
-    one, two = (np.ndarray((len(x) - 7,), "<u8", np.ascontiguousarray(x), strides=(1,)) for x in (a, b))
-    own = np.flatnonzero(same)
-    x, y, left = a0[own], b0[own], (a1 - a0)[own]
-    while len(own):
-        bad = ((one[x] ^ two[y]) & MASKS[np.minimum(left, 8)]) != 0
-        same[own[bad]] = False
-        more = ~bad & (left > 8)
-        own, x, y, left = own[more], x[more] + 8, y[more] + 8, left[more] - 8
-    return same
-
-
 class LibraryEncoder:
     """Whole-text encoding of a byte-level tokenizers file by way of distinct pieces and stems.
 

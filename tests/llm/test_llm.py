@@ -153,6 +153,36 @@ def test_substring_random(spark):
     assert got == brute_substrings(rows)
 
 
+def test_substring_compares_words(monkeypatch):
+    """Every word hash takes one of three values and every window counts as a hit: only the comparison of words tells passages apart."""
+    from quernstone.llm import _chunks as C
+    from quernstone.llm import substring_dedup as S
+
+    monkeypatch.setattr(Words, "_hashes", lambda self, seen: ((self.end - self.start) % 3).astype(np.uint64))
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        w = [f"x{rng.integers(90)}" for _ in range(int(rng.integers(0, 40)))]
+        at, a = int(rng.integers(len(w) + 1)), int(rng.integers(0, 20))
+        rows.append((k, "  ".join(w[:at] + passage[a : a + int(rng.integers(5, 30))] + w[at:])))
+    rows += [(70, " ".join(["a"] * 60)), (71, " ".join(["a"] * 30)), (72, None), (None, " ".join(["a"] * 14)), (70, " ".join(["a"] * 60))]
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string())}) for part in (rows[:25], rows[25:26], rows[26:])]
+    block, window, bits, buckets, wide = 7, 13, 40, 3, 5
+    hits = []
+    for k, t in enumerate(tables):
+        sent = S._anchor_entries(k, t, block, bits, buckets)
+        hits.append(pa.table({"bucket": sent["bucket"], "vals": pa.array([C.pack(np.ones(n, np.uint64)) for n in sent["n"].to_pylist()], pa.binary())}))
+    near = [S.Stretches(Words(t["text"]), C.ids_of(t), h, block, window, bits, buckets, wide).rows(k) for k, (t, h) in enumerate(zip(tables, hits))]
+    every = pa.concat_tables(near)
+    compared = pa.concat_tables([S._compared(every.filter(pa.array(every["bucket"].to_numpy() == b)), window) for b in np.unique(every["bucket"].to_numpy())])
+    got = []
+    for k, (t, h) in enumerate(zip(tables, hits)):
+        own = compared.filter(pa.array(compared["chunk"].to_numpy() == k))
+        got += [tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in S._result(t, h, own, block, window, bits, buckets, wide).to_pylist()]
+    assert sorted(got, key=str) == brute_substrings(rows)
+
+
 def test_bpe_equals_library_and_decodes(spark, edges):
     from tokenizers import Tokenizer
 
