@@ -167,22 +167,24 @@ class LibraryEncoder:
         """Encode the stems that these pieces bring; for each piece the numbers of its three parts: a line end, the stem, the marks."""
         stem, out = self.stem, []
         nothing, line = stem[FIRST], stem[FIRST + "\n"]
+        parts, lines = self.parts, self.lines
         for p in pieces:
-            before = nothing
-            if p[0] == " ":
+            before, c = nothing, p[0]
+            if c == " ":
                 p = p[1:]  # a stem is named without its space; one that has none is marked
-            elif p[0] == "\n" and self.lines and p[1:2].isalnum():
+            elif c == "\n" and lines and p[1:2].isalnum():
                 before, p = line, FIRST + p[1:]
             else:
                 p = FIRST + p
-            cut = p.rstrip(MARKS) if self.parts else p
-            if len(cut) < len(p) and cut[-1:].isalnum():
-                out.append((before, stem[cut], stem[FIRST + p[len(cut) :]]))
-            else:
-                out.append((before, stem[p], nothing))
+            if parts and not p[-1:].isalnum():
+                cut = p.rstrip(MARKS)
+                if len(cut) < len(p) and cut[-1:].isalnum():
+                    out += before, stem[cut], stem[FIRST + p[len(cut) :]]
+                    continue
+            out += before, stem[p], nothing
         self._encode(list(islice(stem, self.coded, None)))
         self.coded = len(stem)
-        return np.array(out, np.int32)
+        return np.array(out, np.int32).reshape(-1, 3)
 
     def _alone(self, words: list[str]) -> list[list[int]]:
         """Ids of a space and a word of letters or of decimals: the pattern makes one token of each, the library's model does the rest."""
@@ -267,9 +269,11 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # Where ids repeat or lack, a hash of the text parts them; else it need not be read to find the ranges.
+    many, different = rows.agg(F.count("*"), F.approx_count_distinct("doc_id", 0.02)).first()
+    rows = rows.withColumn("tie", F.xxhash64("text") if many - different > 0.1 * many else F.lit(0).cast("long"))
     parts = max(12, input_bytes(docs) // 12_000_000)
-    return rows.repartitionByRange(int(parts), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(run, CONTAINER)
+    return rows.repartitionByRange(int(parts), "doc_id", "tie").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("doc_id", "text").mapInArrow(run, CONTAINER)
 
 
 def decode_segments(segments: DataFrame) -> DataFrame:
