@@ -39,6 +39,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from quernstone.llm import _chunks as C
 from quernstone.llm._env import input_bytes, ship
@@ -256,5 +257,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kind = answers["kind"].to_numpy()
         return _result(table, answers.filter(pa.array(kind == 0)), answers.filter(pa.array(kind == 1)), k, n, bits, buckets, wide)
 
-    schema = OUT + (f", rest {rows().schema['rest'].dataType.simpleString()}, text string" if rest else "")
+    schema = StructType.fromDDL(OUT)
+    if rest:
+        schema = schema.add("rest", rows().schema["rest"].dataType).add("text", "string")
     return rows().groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(result, schema)

@@ -587,3 +587,136 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     clean = {r.doc_id for r in P.benchmark(spark, small, sf).collect()}
     assert all(r.doc_id not in clean for r in small.collect() if any(b in r.text for b in bench))
     assert P.bpe(spark, small.limit(5), sf).count() == 5
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, row string, key int"
+
+
+def _tables(spark, folder, docs, benchmark=(), labels=()):
+    for name, rows, schema in (("documents", docs, DOCS), ("benchmark", benchmark, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(list(rows), schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, empty and very long texts, clashing and dotted names: what each stage must keep, and the whole run."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    item, base, other, own = text(40), text(60), text(60), text(50)
+    texts = [(1, base), (2, base), (2, other), (None, base), (None, own), (None, own), (3, None), (4, ""), (None, ""), (None, None), (5, text(30_000)), (6, text(20) + " " + item + " " + text(9)), (None, item), (7, text(40)), (7, text(40))]
+    texts.append((9, texts[13][1]))
+    rows = [(i, t, "en", "s", 0, k, "r", 1) for k, (i, t) in enumerate(texts)]
+    labels = [(1, 1, 0), (2, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, None)]
+    folder = _tables(spark, tmp_path / "t", rows, [(1, item), (None, None)], labels)
+    docs = P._table(spark, folder, "documents")
+    kept = P.near_duplicates(spark, docs, folder)
+    assert kept.columns == docs.columns
+    # 2 and the copies of base, own and the first text of 7 go; both rows of 2 share an id, and so do those of 7.
+    assert sorted(r["a.b"] for r in kept.collect()) in ([0, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14], [0, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14])
+    assert sorted(r["a.b"] for r in P.benchmark(spark, docs, folder).collect()) == [k for k in range(16) if k not in (11, 12)]
+    cut = P.substrings(spark, docs, folder)
+    assert cut.columns == docs.columns and sorted(r["a.b"] for r in cut.collect()) == list(range(16))
+    assert P.toxicity(spark, docs, folder).columns == docs.columns
+    done = P.run(spark, folder)
+    assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and done.filter("doc_id = 5").count() == 1
+    bare = _tables(spark, tmp_path / "e", [])
+    assert P.run(spark, bare).count() == 0
+
+
+def test_pipeline_and_registered_queries_against_brute_force(spark):
+    """op3 to op8 and the pipeline as registered, over whole tables: the library, numpy over all pairs, and plain loops."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from quernstone.llm.toxicity import held_out, sigmoid, term_sets
+
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    for query, model in (("op3_bpe", WORD_BPE), ("op4_token_files", BYTE_BPE)):
+        tok, got = Tokenizer.from_file(model), {r.doc_id: r for r in QUERIES[query](spark, folder).collect()}
+        tok.no_padding()
+        tok.no_truncation()
+        place = 0
+        for i, t in sorted(docs):
+            ids = tok.encode(t, add_special_tokens=False).ids
+            if query == "op3_bpe":
+                data = np.array(ids, "<u4").tobytes()
+                decoded = tok.decode(ids, skip_special_tokens=False).encode()
+                assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            else:
+                data = np.array([*ids, 0], "<u4").tobytes()
+                assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (place, len(ids) + 1, zlib.crc32(data))
+                place += len(ids) + 1
+        assert len(got) == len(docs)
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in vectors], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = dict(zip((r.vec_id for r in vectors), ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()))
+    assert {r.vec_id: r.n_links for r in QUERIES["op5_embedding_dedup"](spark, folder).collect()} == true
+    # op7: every item in every document by the exact distance.
+    terms = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
+    items = [(r.item_id, terms(r.text or "")) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    names = {}
+    number = lambda w: np.array([names.setdefault(t, len(names)) for t in w], np.int64)
+    want = set()
+    for i, t in docs:
+        w = terms(t)
+        for k, item in items:
+            if item and len(set(item) & set(w)) >= len(set(item)) - int(0.15 * len(item)):
+                d, _ = best_match(number(item), number(w))
+                if d <= int(0.15 * len(item)):
+                    want.add((i, k, d))
+    got = {(r.doc_id, r.item_id, r.distance) for r in QUERIES["op7_decontaminate"](spark, folder).collect()}
+    assert len(got & want) >= 0.97 * len(want) and {g[:2] for g in got} <= {g[:2] for g in want}
+    # op8: the score as the double sum that defines it.
+    table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = train(table, labels.filter(held_out("doc_id", 5) != 0))
+    scores = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, folder).collect()}
+    weight, factor = dict(zip(model.terms.tolist(), model.weight)), dict(zip(model.terms.tolist(), model.factor))
+    for i, t in docs[:60]:
+        own = [k for k in term_sets(pa.array([t]))[2].tolist() if k in weight]
+        z = model.bias + sum(weight[k] for k in own) + sum(float(factor[a] @ factor[b]) for n, a in enumerate(own) for b in own[:n])
+        assert abs(scores[i].score - float(sigmoid(np.array(z)))) < 1e-9 and scores[i].predicted == int(scores[i].score >= 0.5)
+        assert scores[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    # op6: the mean over positions, byte by byte in plain loops.
+    from quernstone.llm.language_id import HIDDEN, STRETCH
+
+    net = train_language(table.filter(held_out("doc_id", 3) != 1))
+    found = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, folder).collect()}
+    for i, t in [d for d in docs if any(map(str.isalpha, d[1]))][:12]:
+        raw, total = t.encode()[:2000], np.zeros(len(net.languages))
+        if len(t.encode()) > 2000:
+            continue
+        for s in range(0, len(raw), STRETCH):
+            piece = list(raw[s : s + STRETCH])
+            both = []
+            for gru, order in ((net.ahead, piece), (net.behind, ([0] * (STRETCH - len(piece)) + piece[::-1]))):
+                h, states = np.zeros(HIDDEN), []
+                for c in order:
+                    x_, u = gru.table[:, c], gru.state @ h
+                    z, r = (1 / (1 + np.exp(-(x_[:HIDDEN] + u[:HIDDEN]))), 1 / (1 + np.exp(-(x_[HIDDEN : 2 * HIDDEN] + u[HIDDEN : 2 * HIDDEN]))))
+                    n = np.tanh(x_[2 * HIDDEN :] + r * u[2 * HIDDEN :])
+                    h = (1 - z) * n + z * h
+                    states.append(h)
+                both.append(states)
+            ahead, behind = both[0], both[1][STRETCH - len(piece) :][::-1]
+            for a, b in zip(ahead, behind):
+                e = np.exp(net.weight @ np.concatenate((a, b)) + net.bias)
+                total += e / e.sum()
+        p = total / len(raw)
+        assert found[i].lang_pred == net.languages[int(p.argmax())] and abs(found[i].score - p.max()) < 1e-3
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    # The pipeline: stage by stage as the operators' queries say, then the library.
+    done = {r.doc_id: r for r in P.run(spark, folder).collect()}
+    left = [d for d in docs if not scores[d[0]].predicted]
+    stay = {i for i, _, c in brute_components(left) if i == c}
+    left = [d for d in left if d[0] in stay]
+    gone = {i: n for i, _, n, _ in brute_substrings(left)}
+    leaked = {g[0] for g in want}
+    assert set(done) <= stay and stay - set(done) <= leaked
+    tok = Tokenizer.from_file(WORD_BPE)
+    for i, t in left:
+        if i in done and not gone[i]:
+            assert done[i].n_tokens == len(tok.encode(t, add_special_tokens=False).ids)
