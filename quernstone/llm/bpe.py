@@ -16,7 +16,9 @@ The vocabulary is a tokenizers JSON file with BPE, an NFC / white space /
 lower-case normaliser, a Split pattern and byte-level symbols; its path is a
 parameter, and its content (under 2 MB) is broadcast.
 
-Null texts encode as empty: no ids, and the decoded text is "".
+Null texts encode as empty: no ids, and the decoded text is "".  Very long texts are
+encoded whole; repeated rows and rows without an id each get their ids.  Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._env import release, ship
 
-WAVE_BYTES = 7_000_000
+WAVE_BYTES = 5_000_000
 CACHE_WORDS = 150_000
 MOST_MODEL_BYTES = 64_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -95,10 +98,10 @@ class PairIndex:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and where each word's start and end."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         raw = [w.encode() for w in words]
         size = np.array([len(r) for r in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -164,8 +167,7 @@ class PairIndex:
             before = prv[i]
             note(np.concatenate((before[before < n], i[k < n])))
         stay = np.flatnonzero(live[:n])
-        ids, at = sym[stay], np.searchsorted(word[stay], np.arange(len(words) + 1))
-        return [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        return sym[stay], np.searchsorted(word[stay], np.arange(len(words) + 1))
 
 
 class Encoder:
@@ -181,25 +183,33 @@ class Encoder:
 
     def numbers(self, text: str) -> np.ndarray:
         number = self.number
-        return np.array([number.setdefault(p, len(number)) for p in text.split(" ")], np.int64)
+        return np.array([number.setdefault(p, len(number)) for p in text.split(" ")], np.int32)
 
     def learn(self) -> None:
         """Encode the pieces that came since the last time."""
         have = len(self.at) - 1
-        fresh = [p for p, i in self._tail(have)]
-        parts = [self.index.words(p) for p in fresh]
         seen: dict[str, int] = {}
-        for part in parts:
-            for w in part:
+        added: list[int] = []
+        names, many = array("q"), array("q")  # the words of all fresh pieces: numbers in seen, or -1 - a place in added
+        for p, _ in self._tail(have):
+            words = self.index.words(p)
+            many.append(len(words))
+            for w in words:
                 if isinstance(w, str):
-                    seen.setdefault(w, len(seen))
-        ids = self.index.encode(list(seen))
-        own = [ids[seen[w]] if isinstance(w, str) else np.array([w]) for part in parts for w in part]
-        size = np.array([len(x) for x in own], np.int64)
-        by = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        total = np.bincount(by, weights=size, minlength=len(parts)).astype(np.int64) if len(own) else np.zeros(len(parts), np.int64)
-        self.flat = np.concatenate([self.flat, *own]).astype(np.uint32)
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(total)))
+                    names.append(seen.setdefault(w, len(seen)))
+                else:
+                    added.append(w)
+                    names.append(-len(added))
+        ids, at = self.index.encode(list(seen))
+        ids, at = np.concatenate((ids, np.array(added, np.int64))), np.concatenate((at, at[-1] + np.arange(1, len(added) + 1)))
+        name = np.frombuffer(names, np.int64) if len(names) else np.zeros(0, np.int64)
+        name = np.where(name < 0, len(seen) - 1 - name, name)
+        size = at[name + 1] - at[name]
+        stop = np.cumsum(size)
+        ids = ids[np.repeat(at[name] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        stop = np.concatenate(([0], stop))[np.cumsum(np.frombuffer(many, np.int64))] if len(many) else np.zeros(0, np.int64)
+        self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
+        self.at = np.concatenate((self.at, self.at[-1] + stop))
 
     def _tail(self, have: int) -> Iterator[tuple[str, int]]:
         from itertools import islice
