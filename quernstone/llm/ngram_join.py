@@ -13,18 +13,25 @@ T = ceil(threshold * |x|) grams of x.
    lists: any link of x shares one of them.  Buckets of lists turn each list to
    a star (a tree of its documents, never their pairs); the connected components
    of these stars, the clusters, hold every possible link.
-4. Clusters are cut into blocks; each pair of blocks of a cluster is a bounded
-   task in which every document of one is a T-occurrence query against the
-   inverted lists of the other: the short lists are merged, documents that reach
-   T - L in them are probed by binary search in the L long lists, and the sizes
-   decide.  A task returns a spanning tree of its links.
+4. A cluster of more than ``BLOCK`` documents is parted into size bands, each as
+   wide as the threshold, so links lie within a band or between neighbours only;
+   bands are cut into blocks, and each pair of blocks of one band or of two
+   neighbours is a bounded task in which every document of one is a T-occurrence
+   query against the inverted lists of the other: the short lists are merged (by a
+   sort that merges runs, the vector form of the heap), documents that reach T - L
+   in them are probed by binary search in the L long lists, and the sizes decide.
+   A task returns a spanning tree of its links.
 5. Components of the links, joined back over classes to all documents.
 
 Nothing that grows with the input is collected or broadcast.  The rows of a
 gram, set or cluster that a third of all documents hold are pre-aggregated or
 dealt over blocks.  Grams are compared by 64-bit hashes.
 
-Empty and null texts have no grams and link with nothing.  A null id counts as
+A cluster that passages shared by unrelated documents hold together is thus searched
+by size, but still in a number of blocks that grows with the square of a band's.
+
+Empty and null texts have no grams and link with nothing; very long ones are read
+whole.  Columns other than id and text are not read.  A null id counts as
 larger than all others and stays null.  Rows with equal ids count as one
 document in links and keep their own n_shingles.
 """
@@ -33,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import _chunks as C
@@ -45,7 +52,7 @@ BITS = 48
 EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SETS = "doc_id long, n long, f1 long, f2 long, shared binary, rare binary"
-BLOCK, BLOCKS, BLOCK_MOST = 128, 16, 4096
+BLOCK, BLOCKS, BLOCK_MOST = 128, 12, 4096
 
 
 def gram_sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +256,22 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGES)
 
 
-def _blocks(clusters: DataFrame) -> DataFrame:
-    """Adds the number of blocks of each cluster: blocks of 128, but at most 16 of up to 4096 documents, and more only beyond."""
-    count = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    most = F.greatest(F.least(F.ceil(F.col("members") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("members") / BLOCK_MOST))
-    return count.select("component", most.cast("int").alias("blocks"))
+def _bands(members: DataFrame, percent: int) -> DataFrame:
+    """members (component, n, ...) with their band's blocks: base, blocks (its own), low and high (those to be paired with), total (of the cluster).
+
+    Bands of a cluster number their blocks one after the other: of 128 documents each,
+    but at most 12 of up to 4096, and more only beyond.  A cluster of at most BLOCK
+    documents is one block.
+    """
+    band = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    members = members.withColumn("band", band.cast("long"))
+    count = members.groupBy("component", "band").agg(F.count("*").alias("many"))
+    own = F.greatest(F.least(F.ceil(F.col("many") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("many") / BLOCK_MOST)).cast("long")
+    by = Window.partitionBy("component")
+    count = count.withColumn("every", F.sum("many").over(by)).withColumn("blocks", own).withColumn("base", F.sum("blocks").over(by.orderBy("band")) - F.col("blocks"))
+    near = by.orderBy("band").rangeBetween(-1, 1)
+    count = count.withColumns({"low": F.min("base").over(near), "high": F.max(F.col("base") + F.col("blocks")).over(near)})
+    return members.join(count, ["component", "band"]).drop("band", "many")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -279,24 +297,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = lists.groupBy("bucket").applyInArrow(_stars, EDGES)
     clusters = written(components(stars, "stars"), "clusters")
 
-    small = max(64, input_bytes(docs) // 2_000_000)
-    placed = clusters.join(_blocks(clusters), "component").select(F.col("id").alias("doc_id"), "component", "blocks")
-    blocked = reps.select("doc_id", "n", "shared").join(placed, "doc_id")
-    one = blocked.filter("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(small)).alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).alias("side"), "doc_id", "n", "shared")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    size = input_bytes(docs)
+    small = max(64, size // 2_000_000)
+    placed = reps.select("doc_id", "n").join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
+    blocked = reps.select("doc_id", "shared").join(_bands(placed, percent), "doc_id")
+    one = blocked.filter(F.col("every") <= BLOCK).select(F.pmod(F.xxhash64("component"), F.lit(small)).alias("group"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(2).alias("side"), "doc_id", "n", "shared")
+    own = F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     many = (
-        blocked.filter("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocked.filter(F.col("every") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence("low", F.col("high") - 1)))
         .select((F.col("component") + small).alias("group"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n", "shared")
     )
 
     def links(table):
         return _links(table, percent)
 
-    linked = one.unionAll(many).groupBy("group", "lo", "hi").applyInArrow(links, EDGES)
+    # As many tasks as this work needs: by bytes alone Spark would put the blocks of a large cluster in a few.
+    tasks = int(max(16, size // 1_000_000))
+    linked = one.unionAll(many).repartition(tasks, "group", "lo", "hi").groupBy("group", "lo", "hi").applyInArrow(links, EDGES)
     joined = components(linked, "links")
     classes = sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.join(joined, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "classes")
     removed(spark, clusters)
-    out = sets.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
+    rows_ = sets.select("doc_id", "n", "f1", "f2")  # those without grams, however many, have no class to look up
+    out = rows_.filter("n > 0").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "component").unionAll(rows_.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     null = F.lit(C.NO_ID)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), null).alias("component_id"))

@@ -86,6 +86,28 @@ def test_jaccard_edges(edges):
     assert got == brute_components([(r[0], r[1]) for r in edge_rows()])
 
 
+def test_jaccard_size_bands_and_blocks(spark, monkeypatch):
+    """One passage holds documents of all sizes together in a cluster, which goes to bands and many blocks."""
+    from quernstone.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "BLOCKS", 2)
+    monkeypatch.setattr(J, "BLOCK_MOST", 6)
+    rng = np.random.default_rng(12)
+    shared = [f"s{k}" for k in range(12)]
+    rows = []
+    for k in range(25):
+        body = [f"d{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 120)))]
+        for _ in range(int(rng.integers(1, 6))):
+            w = shared + body
+            for _ in range(int(rng.integers(0, 3))):
+                if len(w) > 13:
+                    del w[int(rng.integers(12, len(w)))]
+            rows.append((len(rows), " ".join(w[: int(rng.integers(max(1, int(0.7 * len(w))), len(w) + 1))])))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_jaccard_random_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{k}" for k in range(60)]
