@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quernstone
@@ -104,6 +104,20 @@ def input_bytes(df: DataFrame) -> int:
     return int(df.agg(total).first()[0])
 
 
+def lowest(rows: DataFrame, number: Column, many: int, total: int) -> DataFrame:
+    """The ``many`` rows of lowest ``number`` (a 64-bit hash) of ``total``; tasks pass on only rows that can be among them.
+
+    Of evenly spread hashes four times as many as asked lie below the bound, so fewer
+    than ``many`` lie there with no chance worth a name.
+    """
+    return rows.filter(number <= F.lit(hash_bound(4 * many / max(total, 1)))).orderBy(number).limit(many)
+
+
+def hash_bound(share: float) -> int:
+    """Below which this share of signed 64-bit hashes lies."""
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
 def release() -> None:
     """Give memory that a worker has freed back to the system, where its allocators can."""
     import ctypes

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._chunks import NO_ID
 from quernstone.llm._components import components, forest
-from quernstone.llm._env import release, removed, ship, written
+from quernstone.llm._env import lowest, release, removed, ship, written
 
 SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 4, 4000, 0.85
 DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS, ASKED, AUDIT, HOT = 16, 24, 1.2, 0.05, 512, 2_000_000, 10_000, 256, 4096
@@ -307,7 +307,7 @@ def _placed(classes: DataFrame, total: int, dtype, most: int, per: int) -> DataF
     spark = classes.sparkSession
     wanted = total // per
     k = int(min(most, max(LEAST_CLUSTERS, wanted)))
-    got = classes.select("v").orderBy(F.xxhash64("v", F.lit(5))).limit(max(SAMPLE, 4 * k)).collect()  # bounded by SAMPLE and most
+    got = lowest(classes.select("v"), F.xxhash64("v", F.lit(5)), max(SAMPLE, 4 * k), total).collect()  # bounded by SAMPLE and most
     by_length: dict[int, list] = {}
     for r in got:
         by_length.setdefault(len(r.v), []).append(bytes(r.v))
@@ -369,10 +369,10 @@ def _placed(classes: DataFrame, total: int, dtype, most: int, per: int) -> DataF
     return coarse.drop("shards").join(shards, "node").select("node", "rep", "weight", "v", "shards")
 
 
-def _audit(units: DataFrame, counts: DataFrame, threshold: float, dtype) -> float:
+def _audit(units: DataFrame, counts: DataFrame, total: int, threshold: float, dtype) -> float:
     """Share of the links of AUDIT queries, taken by a hash of the vector, that the search counted; brute force against all rows, in one pass."""
     spark = units.sparkSession
-    asked = counts.orderBy(F.xxhash64("v", F.lit(9))).limit(AUDIT).select("node", "v", "n_links").collect()  # bounded
+    asked = lowest(counts, F.xxhash64("v", F.lit(9)), AUDIT, total).select("node", "v", "n_links").collect()  # bounded
     held = spark.sparkContext.broadcast([(r.node, bytes(r.v)) for r in asked])
 
     def count(batches):
@@ -412,7 +412,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     some = units.filter("v IS NOT NULL")
     size = some.select("node", "vec_id").distinct().groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = written(some.select("node", "v").dropDuplicates(["node"]).join(size, "node").select("node", "rep", "weight", "v"), "classes")
-    placed = written(_placed(classes, classes.count(), dtype, most_clusters, per_cluster), "placed")
+    total = classes.count()
+    placed = written(_placed(classes, total, dtype, most_clusters, per_cluster), "placed")
     shapes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
     shapes = written(shapes, "shapes")  # one row a shard: Spark broadcasts it only where it is small
     members = placed.select("*", F.explode("shards").alias("shard")).join(shapes, "shard")
@@ -438,7 +439,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
     counted = classes.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     done = written(counted.join(joined, F.col("rep") == F.col("id"), "left").select("node", "v", (F.col("n_links") + F.col("weight") - 1).alias("n_links"), F.col("n_links").alias("others"), "weight", F.coalesce("component", "rep").alias("component")), "results")
-    share = _audit(classes, done.select("node", "v", F.col("others").alias("n_links")), threshold, dtype)
+    share = _audit(classes, done.select("node", "v", F.col("others").alias("n_links")), total, threshold, dtype)
     log.info("embedding_links: audited recall %.4f", share)
     for table in (placed, shapes, united, found):
         removed(spark, table)

@@ -7,7 +7,7 @@ probabilities are the mean over all its positions.  The network is trained in
 numpy by backpropagation through time, on the driver, on a bounded sample of
 labelled documents (``SAMPLE`` of each language, by a hash of their id; their whole
 texts, in stretches): steps draw a document, then one of its stretches.  One scan
-finds the sample, with a top-k of each language in each task, one fetches its texts.
+finds the sample, from the rows below a bound of the hash, one fetches its texts.
 Prediction is one pass over whole texts without a shuffle, however long they are; the
 model is broadcast and has a fixed size.
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm._env import ship
+from quernstone.llm._env import hash_bound, ship
 
 HIDDEN, STRETCH, SIDE = 8, 96, 4096
 SAMPLE, STEPS, BATCH, LANGUAGES = 400, 260, 192, 64
@@ -159,12 +159,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from the rows given whose language is not null; None if there are none."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL")
-    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if not total:
+        return None
+    if len(total) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     rows = rows.filter("text RLIKE '[^\\\\s]'")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(3)), "id"))  # Spark keeps sample rows of each language a task
-    some = rows.select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample).select("id", "lang").distinct()
-    picked = rows.join(F.broadcast(some), ["id", "lang"])  # bounded: languages * sample rows
+    # Of each language the rows of lowest hash; tasks pass on only those below a bound, which widens should texts without letters leave too few.
+    number, share = F.xxhash64("id", F.lit(3)), {name: 4 * sample / n for name, n in total.items()}
+    while True:
+        bound = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, hash_bound(part))])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("number", "id"))
+        some = rows.select("id", "lang", number.alias("number")).filter(F.col("number") <= bound[F.col("lang")]).withColumn("rank", rank).filter(F.col("rank") <= sample)
+        got = some.select("id", "lang").collect()  # bounded: languages * sample rows
+        few = [name for name, part in share.items() if part < 1 and sum(r.lang == name for r in got) < sample]
+        if not few:
+            break
+        share.update({name: 16 * share[name] for name in few})
+    spark = docs.sparkSession
+    picked = rows.join(F.broadcast(spark.createDataFrame(got, "id long, lang string").distinct()), ["id", "lang"])
 
     def cut(batches):
         for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm._env import removed, ship, written
+from quernstone.llm._env import lowest, removed, ship, written
 from quernstone.llm._words import Words
 
 PLACES, SAMPLE, FEATURES, FACTORS, STEPS = 1 << 22, 2000, 1024, 8, 150
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = positive / max(positive + negative, 1)
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
     order = F.xxhash64("id", F.lit(11))
-    some = marks.filter("label = 1").orderBy(order, "id").limit(sample).unionAll(marks.filter("label = 0").orderBy(order, "id").limit(sample))
+    some = lowest(marks.filter("label = 1"), order, sample, positive).unionAll(lowest(marks.filter("label = 0"), order, sample, negative))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(text.join(F.broadcast(some), "id").select("id", "label", "text"), "labelled")  # bounded: 2 * sample documents
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
