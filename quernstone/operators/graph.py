@@ -15,6 +15,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
+def iterate(start: DataFrame, step, keys: list[str], rounds: int = 50) -> DataFrame:
+    """Feedback until nothing new comes: step(new rows) gives rows, of which those whose keys are not yet held go round again, each with its round in ``iteration``."""
+    held = _cut(start.dropDuplicates(keys).withColumn("iteration", F.lit(0)))
+    front = held
+    for r in range(1, rounds + 1):
+        front = _cut(step(front.drop("iteration")).dropDuplicates(keys).join(held.select(*keys), keys, "left_anti").withColumn("iteration", F.lit(r)))
+        if front.isEmpty():
+            break
+        held = held.unionByName(front)
+    return held
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, tolerance: float = 1e-4, dangling: str = "drop", weight: str | None = None) -> DataFrame:
     """id, rank.  dangling: drop the rank of nodes without successors, or redistribute it.  weight: a column; rank then flows in proportion."""
     w = F.sum(weight) if weight else F.lit(1.0)
@@ -78,41 +90,50 @@ def belief_propagation(edges: DataFrame, priors: DataFrame, coupling: float = 0.
     return belief.select("id", (1 / (1 + F.exp(-F.col("b")))).alias("belief"))
 
 
-def betweenness(edges: DataFrame, most_edges: int = 200_000) -> DataFrame:
-    """id, betweenness of the directed, unweighted graph, exactly; one task, so only for graphs of at most ``most_edges`` edges."""
+def betweenness(edges: DataFrame, most_edges: int = 200_000, tasks: int = 64) -> DataFrame:
+    """id, betweenness of the directed, unweighted graph, exactly.
+
+    The edges go to every task, so only graphs of at most ``most_edges`` edges (else
+    an error); the source nodes are dealt over the tasks, whose sums are added up.
+    """
     e = edges.select("src", "dst").distinct()
-    if e.limit(most_edges + 1).count() > most_edges:
+    got = [(r.src, r.dst) for r in e.limit(most_edges + 1).collect()]  # bounded, checked next
+    if len(got) > most_edges:
         raise ValueError(f"more than {most_edges} edges")
+    held = edges.sparkSession.sparkContext.broadcast(got)
+    nodes = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
 
-    def run(pdf):
+    def run(frames):
         from collections import deque
 
         import pandas as pd
 
         out: dict = {}
-        for a, b in zip(pdf.src, pdf.dst):
+        for a, b in held.value:
             out.setdefault(a, []).append(b)
             out.setdefault(b, [])
-        total = dict.fromkeys(out, 0.0)
-        for s in out:
-            dist, paths, before, order = {s: 0}, {s: 1.0}, {s: []}, []
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for t in out[v]:
-                    if t not in dist:
-                        dist[t], paths[t], before[t] = dist[v] + 1, 0.0, []
-                        queue.append(t)
-                    if dist[t] == dist[v] + 1:
-                        paths[t] += paths[v]
-                        before[t].append(v)
-            share = dict.fromkeys(order, 0.0)
-            for t in reversed(order):
-                for v in before[t]:
-                    share[v] += paths[v] / paths[t] * (1 + share[t])
-                if t != s:
-                    total[t] += share[t]
-        return pd.DataFrame(sorted(total.items()), columns=["id", "betweenness"])
-
-    return e.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"id {edges.schema['src'].dataType.simpleString()}, betweenness double")
+        for pdf in frames:
+            total = dict.fromkeys(out, 0.0)
+            for s in pdf.id.tolist():
+                dist, paths, before, order = {s: 0}, {s: 1.0}, {s: []}, []
+                queue = deque([s])
+                while queue:
+                    v = queue.popleft()
+                    order.append(v)
+                    for t in out[v]:
+                        if t not in dist:
+                            dist[t], paths[t], before[t] = dist[v] + 1, 0.0, []
+                            queue.append(t)
+                        if dist[t] == dist[v] + 1:
+                            paths[t] += paths[v]
+                            before[t].append(v)
+                share = dict.fromkeys(order, 0.0)
+                for t in reversed(order):
+                    for v in before[t]:
+                        share[v] += paths[v] / paths[t] * (1 + share[t])
+                    if t != s:
+                        total[t] += share[t]
+            yield pd.DataFrame(list(total.items()), columns=["id", "betweenness"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return nodes.repartition(tasks, "id").mapInPandas(run, f"id {kind}, betweenness double").groupBy("id").agg(F.sum("betweenness").alias("betweenness"))

@@ -130,3 +130,41 @@ def strategy(delta_rows: int, table_rows: int, delta_ms: float | None = None, fu
     ratio = delta_ms / full_ms if delta_ms is not None and full_ms else delta_rows / max(table_rows, 1)
     ratio = ratio if last is None else smooth * ratio + (1 - smooth) * last
     return ("full" if ratio > low and delta_ms is None or ratio > 1 else "delta"), ratio
+
+
+# True deltas: a view's state is a table of its own, and a change reads the change and the state of the keys it touches, never the base.
+def linear_state(table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """State of count, sum and avg: per key the signed counts of rows and of values, and the sum."""
+    d, v = F.col(DIFF), F.col(value)
+    return table.groupBy(*keys).agg(F.sum(d).alias("_rows"), F.sum(F.when(v.isNotNull(), d).otherwise(0)).alias("_n"), F.sum(F.coalesce(d * v, F.lit(0.0))).alias("_s"))
+
+
+def linear_apply(state: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The state after a change: what the change adds, summed up first; work in the size of state and change."""
+    both = state.unionByName(linear_state(delta, keys, value))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_rows", "_n", "_s")]).filter("_rows <> 0")
+
+
+def linear_view(state: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, count, sum, avg of the keys that have rows."""
+    return state.filter("_rows > 0").select(*keys, F.col("_rows").alias("count"), F.col("_s").alias("sum"), (F.col("_s") / F.nullif("_n", F.lit(0))).alias("avg"))
+
+
+def values_state(table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """State of min, max and distinct count under retraction: per key and value the net count."""
+    return table.groupBy(*keys, value).agg(F.sum(DIFF).alias("_n"))
+
+
+def values_apply(state: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
+    both = state.unionByName(values_state(delta, keys, value))
+    return both.groupBy(*keys, value).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+
+
+def extremes(state: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return state.filter("_n > 0").groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("distinct"))
+
+
+def extremes_apply(view: DataFrame, state: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The view of extremes after a change, from the state after it: only touched keys are read and made anew."""
+    touched = delta.select(*keys).distinct()
+    return view.join(touched, keys, "left_anti").unionByName(extremes(state.join(touched, keys, "left_semi"), keys, value))

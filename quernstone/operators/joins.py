@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     """
     payload = F.struct(F.col(right_ts).alias("ts"), *[F.col(c).alias(c) for c in right_cols])
     lcols = F.struct(*[F.col(c) for c in left.columns])
-    a = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1 if allow_exact else 0).alias("_side"), F.lit(None).cast("string").alias("_tie"), lcols.alias("_l"))
-    b = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0 if allow_exact else 1).alias("_side"), (F.lpad(F.col(tie).cast("string"), 20, "0") if tie else F.lit("")).alias("_tie"), payload.alias("_r"))
+    order = F.col(tie) if tie else F.lit(0)
+    a = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1 if allow_exact else 0).alias("_side"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("_tie"), lcols.alias("_l"))
+    b = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0 if allow_exact else 1).alias("_side"), order.alias("_tie"), payload.alias("_r"))
     every = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = every.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter("_l IS NOT NULL")
@@ -96,10 +98,25 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def four_cycles(edges: DataFrame) -> DataFrame:
-    """Number of 4-cycles through each pair of opposite nodes (u < v): pairs of the wedges that share their end points."""
-    both = edges.filter("src <> dst").select("src", "dst").unionAll(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    wedge = both.alias("p").join(both.alias("q"), F.col("p.src") == F.col("q.src")).filter("p.dst < q.dst").groupBy(F.col("p.dst").alias("u"), F.col("q.dst").alias("v")).agg(F.count("*").alias("w"))
-    return wedge.filter("w > 1").select("u", "v", (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("cycles"))
+    """Number of 4-cycles through each pair of opposite nodes (u < v).
+
+    Each cycle is made once, from its last node in the order of (degree, id), out of
+    two wedges whose middles come before it: O(m^1.5) wedges, so a hub of degree d
+    does not make d^2 of them.  Both pairs of opposite nodes are credited.
+    """
+    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    deg = both.groupBy("u").agg(F.count("*").alias("d"))
+    both = both.join(deg, "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+    down = both.filter(F.struct("dv", "v") < F.struct("d", "u")).select(F.col("u").alias("top"), F.col("v").alias("mid"), F.struct("d", "u").alias("rank"))
+    step = both.select(F.col("u").alias("mid"), F.col("v").alias("low"), F.struct("dv", "v").alias("low_rank"))
+    wedge = down.join(step, "mid").filter(F.col("low_rank") < F.col("rank")).select("top", "low", "mid")
+    pairs = wedge.groupBy("top", "low").agg(F.count("*").alias("w")).filter("w > 1")
+    opposite = pairs.select(F.least("top", "low").alias("u"), F.greatest("top", "low").alias("v"), (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("cycles"))
+    # The other pair of each cycle: two middles of one (top, low).
+    mids = wedge.join(pairs.select("top", "low"), ["top", "low"])
+    cross = mids.alias("p").join(mids.alias("q"), ["top", "low"]).filter("p.mid < q.mid").select(F.col("p.mid").alias("u"), F.col("q.mid").alias("v"), F.lit(1).cast("long").alias("cycles"))
+    return opposite.unionAll(cross).groupBy("u", "v").agg(F.sum("cycles").alias("cycles"))
 
 
 def paths3(edges: DataFrame) -> DataFrame:
@@ -134,18 +151,40 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(every == 0, 100.0).otherwise(100.0 * F.size(F.array_intersect(x, y)) / every)
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, key: str, reference: str, amount: str, day: str, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), threshold: float = 80.0, days: int = 2) -> DataFrame:
-    """Best partner of each left row by a weighted score of reference, amount and date, at most one to one.
+def fuzzy_match(left: DataFrame, right: DataFrame, key: str, reference: str, amount: str, day: str, weights: tuple[float, ...] = (0.5, 0.3, 0.2), threshold: float = 80.0, days: int = 2, description: str | None = None, rounds: int = 20) -> DataFrame:
+    """Partners of rows by a weighted score of reference, amount and date (and description, a fourth weight), one to one, the best pair first.
 
-    Candidates share the rounded logarithm of the amount (or its neighbour), so
-    no all-pairs join happens.  A pair counts if each is the other's best.
+    No pair that reaches the threshold is lost: candidates lie within ``days``, and
+    their amounts within the factor that the threshold leaves to the amount's weight,
+    so they share a day and a bucket of that width or its neighbour.  Greedy: each
+    round takes the pairs that are best for both ends (ties by the keys), which are
+    those that a pass over all pairs in descending order would take; up to ``rounds``
+    rounds, until none is left.
     """
-    bucket = F.floor(F.log1p(F.abs(F.col(amount))) * 20)
-    l = left.select(F.col(key).alias("lk"), F.col(reference).alias("lr"), F.col(amount).alias("la"), F.col(day).cast("date").alias("ld"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    r = right.select(F.col(key).alias("rk"), F.col(reference).alias("rr"), F.col(amount).alias("ra"), F.col(day).cast("date").alias("rd"), bucket.alias("_b"))
+    from quernstone.operators.graph import _cut
+
+    least = (threshold - 100.0 * (sum(weights) - weights[1])) / (100.0 * weights[1])  # of the amounts' quotient
+    size = F.ln(F.greatest(F.abs(F.col(amount)), F.lit(0.01)))
+    bucket = F.floor(size / -math.log(least)).cast("long") if 0 < least < 1 else F.lit(0).cast("long")
+    text = F.col(description) if description else F.lit("")
+    date = F.col(day).cast("date")
+    near = F.explode(F.array(bucket - 1, bucket, bucket + 1)) if 0 < least < 1 else bucket
+    l = left.select(F.col(key).alias("lk"), F.col(reference).alias("lr"), F.col(amount).alias("la"), date.alias("ld"), text.alias("lt"), near.alias("_b"))
+    l = l.withColumn("_d", F.explode(F.sequence(F.date_sub("ld", days), F.date_add("ld", days))))
+    r = right.select(F.col(key).alias("rk"), F.col(reference).alias("rr"), F.col(amount).alias("ra"), date.alias("rd"), text.alias("rt"), bucket.alias("_b"), date.alias("_d"))
     gap = F.abs(F.datediff("ld", "rd"))
     money = F.greatest(F.lit(0.0), 100.0 * (1 - F.abs(F.col("la") - F.col("ra")) / F.greatest(F.abs("la"), F.abs("ra"), F.lit(0.01))))
     score = weights[0] * token_sort_ratio(F.col("lr"), F.col("rr")) + weights[1] * money + weights[2] * 100.0 * (1 - gap / (days + 1))
-    pairs = l.join(r, "_b").filter(gap <= days).select("lk", "rk", F.round(score, 6).alias("score")).filter(F.col("score") >= threshold)
+    if description:
+        score = score + weights[3] * token_set_ratio(F.col("lt"), F.col("rt"))
+    pairs = l.join(r, ["_d", "_b"]).select("lk", "rk", F.round(score, 6).alias("score")).filter(F.col("score") >= threshold)
     first = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("score"), o))
-    return pairs.withColumn("_l", first("lk", "rk")).withColumn("_r", first("rk", "lk")).filter("_l = 1 AND _r = 1").select("lk", "rk", "score")
+    found, open_ = None, _cut(pairs)
+    for _ in range(rounds):
+        best = _cut(open_.withColumn("_l", first("lk", "rk")).withColumn("_r", first("rk", "lk")).filter("_l = 1 AND _r = 1").select("lk", "rk", "score"))
+        found = best if found is None else found.unionAll(best)
+        rest = _cut(open_.join(best.select("lk"), "lk", "left_anti").join(best.select("rk"), "rk", "left_anti").select("lk", "rk", "score"))
+        if rest.isEmpty():
+            break
+        open_ = rest
+    return found

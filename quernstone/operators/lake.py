@@ -34,11 +34,11 @@ def merge_scd2(current: DataFrame, updates: DataFrame, keys: list[str], tracked:
 
 
 def merge_on_read(base: DataFrame, log: DataFrame, keys: list[str], order: str, op: str) -> DataFrame:
-    """Base rows with an ordered log of insert, update and delete folded in; the last entry of a key wins."""
+    """Base rows with an ordered log of insert, update and delete folded in; the last entry of a key wins, of entries of one order the greater op, then the greater row."""
     cols = base.columns
     b = base.select(*keys, F.struct(*cols).alias("_r"), F.lit(-1).cast("long").alias("_o"), F.lit("insert").alias("_op"))
     d = log.select(*keys, F.struct(*cols).alias("_r"), F.col(order).cast("long").alias("_o"), F.col(op).alias("_op"))
-    last = b.unionByName(d).groupBy(*keys).agg(F.max_by(F.struct("_r", "_op"), "_o").alias("_x"))
+    last = b.unionByName(d).groupBy(*keys).agg(F.max_by(F.struct("_r", "_op"), F.struct("_o", "_op", "_r")).alias("_x"))
     return last.filter("_x._op <> 'delete'").select("_x._r.*")
 
 
@@ -54,6 +54,22 @@ def conflicts_lww(versions: DataFrame, keys: list[str], ts: str, region: str) ->
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, region)).alias("_x")).select(*keys, "_x.*")
 
 
+def snapshot(history: DataFrame, source: DataFrame, keys: list[str], updated_at: str) -> DataFrame:
+    """History (source columns, valid_from, valid_to) after one look at the source.
+
+    A newer updated_at closes the standing version and opens another; rows that the
+    source no longer has are closed at the newest time it has (hard deletes).
+    """
+    standing, closed = history.filter("valid_to IS NULL"), history.filter("valid_to IS NOT NULL")
+    now = source.agg(F.max(updated_at).alias("_now"))
+    j = standing.join(source.select(*keys, F.col(updated_at).alias("_new")), keys, "left").crossJoin(F.broadcast(now))  # one row
+    end = F.when(F.col("_new").isNull(), F.col("_now")).when(F.col("_new") > F.col(updated_at), F.col("_new"))
+    old = j.withColumn("valid_to", end).select(*history.columns)
+    fresh = source.join(standing.select(*keys, F.col(updated_at).alias("_old")), keys, "left").filter("_old IS NULL OR _old < " + updated_at)
+    new = fresh.withColumn("valid_from", F.col(updated_at)).withColumn("valid_to", F.lit(None).cast(history.schema["valid_to"].dataType)).select(*history.columns)
+    return closed.unionByName(old).unionByName(new)
+
+
 class SnapshotTable:
     """Versioned Parquet directories and a manifest: append, overwrite, time travel, history, change feed.
 

@@ -192,18 +192,71 @@ def compare_views(left: DataFrame, right: DataFrame, key: str, exact: list[str],
     return j.select(F.coalesce(f"l.{key}", f"r.{key}").alias(key), status.alias("status"))
 
 
-def reconciliation(raw: DataFrame, out: DataFrame, key: str, amount: str, group: str) -> DataFrame:
-    """check, raw, transformed: counts, totals, per-group totals that differ, ids missing and extra."""
+def reconciliation(raw: DataFrame, out: DataFrame, key: str, amount: str, group: str, branch: str | None = None) -> DataFrame:
+    """check, raw, transformed: counts, totals, per-group (and per-branch) totals that differ, ids missing and extra."""
     totals = lambda d, n: d.agg(F.count("*").cast("double").alias(f"{n}_n"), F.sum(amount).alias(f"{n}_s"))
-    g = lambda d, n: d.groupBy(group).agg(F.round(F.sum(amount), 2).alias(n))
-    gr, go = g(raw, "a"), g(out, "b")
-    off = gr.join(go, gr[group].eqNullSafe(go[group]), "full").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).cast("double").alias("off"))
+
+    def off(by: str, name: str) -> DataFrame:
+        a, b = (d.groupBy(by).agg(F.round(F.sum(amount), 2).alias(n)) for d, n in ((raw, "a"), (out, "b")))
+        return a.join(b, a[by].eqNullSafe(b[by]), "full").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).cast("double").alias(name))
+
     missing = raw.join(out, key, "left_anti").agg(F.count("*").cast("double").alias("missing"))
     extra = out.join(raw, key, "left_anti").agg(F.count("*").cast("double").alias("extra"))
-    row = totals(raw, "r").crossJoin(totals(out, "o")).crossJoin(off).crossJoin(missing).crossJoin(extra)  # one row each
+    row = totals(raw, "r").crossJoin(totals(out, "o")).crossJoin(off(group, "g_off")).crossJoin(missing).crossJoin(extra)  # one row each
     s = lambda n, a, b: F.struct(F.lit(n).alias("check"), F.round(a, 2).alias("raw"), F.round(b, 2).alias("transformed"))
     zero = F.lit(0.0)
-    return row.select(F.explode(F.array(s("count", F.col("r_n"), F.col("o_n")), s("total", F.col("r_s"), F.col("o_s")), s("groups_off", zero, F.col("off")), s("missing", zero, F.col("missing")), s("extra", zero, F.col("extra")))).alias("s")).select("s.*")
+    checks = [s("count", F.col("r_n"), F.col("o_n")), s("total", F.col("r_s"), F.col("o_s")), s("groups_off", zero, F.col("g_off")), s("missing", zero, F.col("missing")), s("extra", zero, F.col("extra"))]
+    if branch:
+        row = row.crossJoin(off(branch, "b_off"))
+        checks.append(s("branches_off", zero, F.col("b_off")))
+    return row.select(F.explode(F.array(*checks)).alias("x")).select("x.*")
+
+
+def invariants(before: DataFrame, after: DataFrame, total: str, not_null: list[str], bounds: dict[str, tuple[float, float]], distinct: str, ordered: tuple[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """invariant, holds: row_count and sum of ``total`` kept, no nulls, values within bounds, distinct values kept, and ``ordered`` = (order, column): the column never falls in that order within ``by``."""
+    shape = lambda d, n: d.agg(F.count("*").alias(f"{n}_n"), F.sum(total).alias(f"{n}_s"), F.countDistinct(distinct).alias(f"{n}_d"))
+    inside = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)) for c, (lo, hi) in bounds.items()]
+    now = after.agg(sum((F.count_if(F.col(c).isNull()) for c in not_null), F.lit(0)).alias("nulls"), sum(inside, F.lit(0)).alias("out"))
+    row = shape(before, "b").crossJoin(shape(after, "a")).crossJoin(now)  # one row each
+    close = F.abs(F.col("b_s") - F.col("a_s")) <= 1e-9 * F.greatest(F.abs("b_s"), F.lit(1.0))
+    held = [("row_count", F.col("b_n") == F.col("a_n")), ("sum", close), ("no_nulls", F.col("nulls") == 0), ("range", F.col("out") == 0), ("distinct_preserved", F.col("b_d") == F.col("a_d"))]
+    if ordered:
+        order, column = ordered
+        fell = after.withColumn("_b", F.lag(column).over(Window.partitionBy(*(by or [])).orderBy(order))).agg(F.count_if(F.col(column) < F.col("_b")).alias("falls"))
+        row = row.crossJoin(fell)
+        held.append(("monotone", F.col("falls") == 0))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("invariant"), c.alias("holds")) for n, c in held])).alias("x")).select("x.*")
+
+
+def training_serving_skew(training: DataFrame, serving: DataFrame, columns: list[str], most_shift: float = 0.5, most_nulls: float = 0.05) -> DataFrame:
+    """feature, shift (of the means, in training deviations), null_gap, skewed: one pass over each side."""
+    def side(d: DataFrame, n: str) -> DataFrame:
+        return d.agg(*[x for c in columns for x in (F.avg(c).alias(f"{n}_m_{c}"), F.stddev_pop(c).alias(f"{n}_s_{c}"), F.avg(F.col(c).isNull().cast("int")).alias(f"{n}_z_{c}"))])
+
+    row = side(training, "t").crossJoin(side(serving, "v"))  # one row each
+    made = []
+    for c in columns:
+        shift = F.abs(F.col(f"v_m_{c}") - F.col(f"t_m_{c}")) / F.nullif(F.col(f"t_s_{c}"), F.lit(0.0))
+        gap = F.abs(F.col(f"v_z_{c}") - F.col(f"t_z_{c}"))
+        made.append(F.struct(F.lit(c).alias("feature"), F.coalesce(shift, F.lit(0.0)).alias("shift"), gap.alias("null_gap"), ((F.coalesce(shift, F.lit(0.0)) > most_shift) | (gap > most_nulls)).alias("skewed")))
+    return row.select(F.explode(F.array(*made)).alias("x")).select("x.*")
+
+
+def flag_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, rule: every rule that a row breaks, each pair of key and rule once; one pass, not one a rule."""
+    fired = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return df.select(key, F.explode(fired).alias("rule")).dropDuplicates([key, "rule"])
+
+
+def impossible_travel(df: DataFrame, account: str, ts: str, lat: str, lon: str, seconds: float, km: float, order: str | None = None) -> DataFrame:
+    """Rows whose account was at least ``km`` away at its last event, at most ``seconds`` before: with km_moved and seconds_since."""
+    from quernstone.functions.scalar import haversine
+
+    w = Window.partitionBy(account).orderBy(ts, *([order] if order else []))
+    at = F.col(ts).cast("timestamp").cast("double")
+    out = df.withColumns({"_t": F.lag(at).over(w), "_lat": F.lag(lat).over(w), "_lon": F.lag(lon).over(w)})
+    out = out.withColumns({"seconds_since": at - F.col("_t"), "km_moved": haversine(F.col("_lat"), F.col("_lon"), F.col(lat), F.col(lon))})
+    return out.filter((F.col("seconds_since") <= seconds) & (F.col("km_moved") >= km)).drop("_t", "_lat", "_lon")
 
 
 def classify_discrepancy(amount_a: str, amount_b: str, day_a: str, day_b: str, rounding: float = 1.0, timing: int = 2) -> Column:

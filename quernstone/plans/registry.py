@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES: tuple[str, ...] = ("tpch", "relational", "engine", "streams")
+FAMILIES: tuple[str, ...] = ("tpch", "relational", "engine", "streams", "coverage")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

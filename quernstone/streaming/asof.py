@@ -32,7 +32,7 @@ def fold(events, state: dict, lookback: float, lateness: float):
             r = best(t)
             yield t, value, r and r[0], r and r[2], "+"
         else:
-            touched = [x for x in left if t <= x[0] <= t + lookback]
+            touched = left[bisect.bisect_left(left, (t,)) : bisect.bisect_right(left, (t + lookback, float("inf"), float("inf")))]
             before = [best(x[0]) for x in touched]
             bisect.insort(right, (t, state["seq"], value))
             for x, old in zip(touched, before):
@@ -41,9 +41,8 @@ def fold(events, state: dict, lookback: float, lateness: float):
                     yield x[0], x[2], old and old[0], old and old[2], "-"
                     yield x[0], x[2], new[0], new[2], "+"
         edge = state["newest"] - lateness
-        state["left"] = left = [x for x in left if x[0] >= edge]
-        keep = bisect.bisect_left(right, (edge - lookback,))
-        state["right"] = right = right[keep:]
+        del left[: bisect.bisect_left(left, (edge,))]
+        del right[: bisect.bisect_left(right, (edge - lookback,))]
 
 
 def fresh() -> dict:

@@ -46,3 +46,50 @@ class Aggregating(Value):
 
     def read(self):
         return self.result(self.get(self.start))
+
+
+class List:
+    """Rows in the order in which they came."""
+
+    def __init__(self, handle, name: str, schema: str, ttl: int | None = None):
+        self.state = handle.getListState(name, schema, ttl)
+
+    def get(self) -> list:
+        return [row[0] for row in self.state.get()] if self.state.exists() else []
+
+    def add(self, value) -> None:
+        self.state.appendValue((value,))
+
+    def update(self, values: list) -> None:
+        self.state.put([(v,) for v in values])
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class Map:
+    """Values by key; refresh: reading an entry writes it again, so that its time to live starts anew."""
+
+    def __init__(self, handle, name: str, key_schema: str, schema: str, ttl: int | None = None, refresh: bool = False):
+        self.state = handle.getMapState(name, key_schema, schema, ttl)
+        self.refresh = refresh
+
+    def get(self, key, default=None):
+        if not self.state.containsKey((key,)):
+            return default
+        value = self.state.getValue((key,))[0]
+        if self.refresh:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        self.state.updateValue((key,), (value,))
+
+    def remove(self, key) -> None:
+        self.state.removeKey((key,))
+
+    def items(self) -> list[tuple]:
+        return [(k[0], v[0]) for k, v in self.state.iterator()]
+
+    def clear(self) -> None:
+        self.state.clear()
