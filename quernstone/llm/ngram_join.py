@@ -271,7 +271,7 @@ def _bands(members: DataFrame, percent: int) -> DataFrame:
     count = count.withColumn("every", F.sum("many").over(by)).withColumn("blocks", own).withColumn("base", F.sum("blocks").over(by.orderBy("band")) - F.col("blocks"))
     near = by.orderBy("band").rangeBetween(-1, 1)
     count = count.withColumns({"low": F.min("base").over(near), "high": F.max(F.col("base") + F.col("blocks")).over(near)})
-    return members.join(count, ["component", "band"]).drop("band", "many")
+    return members.join(count.hint("merge"), ["component", "band"]).drop("band", "many")  # not to be broadcast: it grows with the clusters
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -299,8 +299,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     size = input_bytes(docs)
     small = max(64, size // 2_000_000)
-    placed = reps.select("doc_id", "n").join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
-    blocked = reps.select("doc_id", "shared").join(_bands(placed, percent), "doc_id")
+    placed = reps.select("doc_id", "n").join(clusters.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
+    blocked = reps.select("doc_id", "shared").join(_bands(placed, percent).hint("merge"), "doc_id")
     one = blocked.filter(F.col("every") <= BLOCK).select(F.pmod(F.xxhash64("component"), F.lit(small)).alias("group"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(2).alias("side"), "doc_id", "n", "shared")
     own = F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     many = (
