@@ -51,7 +51,7 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, tole
 
 def simple_cycles(edges: DataFrame, shortest: int = 3, longest: int = 5, least: float = 0.0) -> DataFrame:
     """Directed simple cycles of bounded length, each once from its smallest node, whose smallest exposure is at least ``least``: path (array), exposure."""
-    e = edges.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least)
+    e = _cut(edges.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least))
     paths = e.select(F.array("src", "dst").alias("path"), F.col("w").alias("exposure")).filter(F.col("path")[1] > F.col("path")[0])
     found = None
     for length in range(2, longest + 1):

@@ -9,21 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, right_cols: list[str], lookback: str | None = None, allow_exact: bool = True, tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, right_cols: list[str], lookback: str | None = None, allow_exact: bool = True, tie: str | None = None, ranges: bool | None = None) -> DataFrame:
     """Each left row with the latest right row of the same keys at or before its time.
 
     One union and one window, so one shuffle and no row explosion.  lookback: an
     interval; older matches count as none.  allow_exact: whether an equal time
-    matches.  tie: a right column; of equal times the highest wins.
+    matches.  tie: a right column; of equal times the highest wins.  ranges: for keys
+    that hold very many rows (and, unless said otherwise, where there is no key): rows
+    are dealt by ranges of key and time, and the last right row of the ranges before
+    is carried over, so no key needs to fit a task.
     """
+    ranges = not by if ranges is None else ranges
     payload = F.struct(F.col(right_ts).alias("ts"), *[F.col(c).alias(c) for c in right_cols])
     lcols = F.struct(*[F.col(c) for c in left.columns])
     order = F.col(tie) if tie else F.lit(0)
     a = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1 if allow_exact else 0).alias("_side"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("_tie"), lcols.alias("_l"))
     b = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0 if allow_exact else 1).alias("_side"), order.alias("_tie"), payload.alias("_r"))
     every = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = every.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter("_l IS NOT NULL")
+    order = ["_ts", "_side", "_tie"]
+    w = Window.partitionBy(*by, *(["_part"] if ranges else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if ranges:
+        every = every.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()).persist()  # both uses must see the same ranges
+        ends = every.filter("_r IS NOT NULL").groupBy(*by, "_part").agg(F.max_by("_r", F.struct(*order)).alias("_end"))
+        parts = every.select(*by, "_part").distinct().join(ends, [*by, "_part"], "left")  # one row a key and range
+        carry = parts.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+        every = every.join(carry, [*by, "_part"])
+    found = F.last("_r", ignorenulls=True).over(w)
+    out = every.withColumn("_m", F.coalesce(found, F.col("_carry")) if ranges else found).filter("_l IS NOT NULL")
     fresh = F.col("_m").isNotNull() if lookback is None else F.col("_m.ts") >= F.col("_ts") - F.expr(f"INTERVAL {lookback}")
     named = [F.when(fresh, F.col(f"_m.{c}")).alias(f"right_{c}" if c in left.columns else c) for c in right_cols]
     return out.select("_l.*", F.when(fresh, F.col("_m.ts")).alias(f"matched_{right_ts}"), *named)
@@ -53,6 +65,60 @@ def natural_join(relations: list[DataFrame]) -> DataFrame:
     return reduce(two, [r.distinct() for r in relations])
 
 
+def generic_join(relations: list[DataFrame], cells: int = 64) -> DataFrame:
+    """Natural join of any set relations, cyclic or not, without intermediate results: one shuffle, then a worst-case optimal join in each cell.
+
+    The attributes span a cube of about ``cells`` cells, each attribute cut by its hash
+    in equally many slices.  A row goes to the cells that agree with its attributes, so
+    every result meets in exactly one.  A cell binds one attribute after the other: the
+    candidates are the intersection of what all relations that have it still allow
+    (the smallest probed in the others), so no more than the largest possible output is
+    ever looked at.  Relations without rows or attributes make the result empty.
+    """
+    names = sorted({c for r in relations for c in r.columns}, key=lambda c: (-sum(c in r.columns for r in relations), c))
+    kinds = {c: r.schema[c].dataType.simpleString() for r in relations for c in r.columns}
+    slices = max(1, round(cells ** (1 / max(1, len(names)))))
+    dealt = None
+    for k, r in enumerate(relations):
+        at = [F.array(F.pmod(F.xxhash64(F.lit(c), F.col(c).cast(kinds[c])), F.lit(slices))) if c in r.columns else F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")) for c in names]
+        rows = r.distinct().filter(" AND ".join(f"`{c}` IS NOT NULL" for c in r.columns))
+        cell = F.lit(0).cast("long")
+        for i, options in enumerate(at):
+            rows = rows.withColumn(f"_c{i}", F.explode(options))
+            cell = cell * slices + F.col(f"_c{i}")
+        one = rows.select(cell.alias("_cell"), F.lit(k).alias("_rel"), *[(F.col(c) if c in r.columns else F.lit(None).cast(kinds[c])).alias(c) for c in names])
+        dealt = one if dealt is None else dealt.unionByName(one)
+
+    places = [[names.index(c) for c in names if c in r.columns] for r in relations]
+
+    def run(table):
+        import pyarrow as pa
+
+        columns = [table[c].to_pylist() for c in names]
+        tries: list[dict] = [{} for _ in places]
+        for n, rel in enumerate(table["_rel"].to_pylist()):
+            node = tries[rel]
+            for i in places[rel]:
+                node = node.setdefault(columns[i][n], {})
+        out: list[tuple] = []
+
+        def bind(depth: int, bound: tuple, nodes: list[dict]) -> None:
+            if depth == len(names):
+                out.append(bound)
+                return
+            having = [k for k, p in enumerate(places) if depth in p]
+            least = min(having, key=lambda k: len(nodes[k]))
+            others = [nodes[k] for k in having if k != least]
+            for v in nodes[least]:
+                if all(v in o for o in others):
+                    bind(depth + 1, (*bound, v), [n[v] if k in having else n for k, n in enumerate(nodes)])
+
+        bind(0, (), tries)
+        return pa.table({c: pa.array([t[i] for t in out], table.schema.field(c).type) for i, c in enumerate(names)})
+
+    return dealt.groupBy("_cell").applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+
+
 def is_acyclic(schemas: list[set[str]]) -> bool:
     """Whether a natural join of these column sets is acyclic: ears go until none is left."""
     left = [set(s) for s in schemas]

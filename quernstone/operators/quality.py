@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.windows import exact_quantiles
+
 
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """One pass: column, completeness, uniqueness (distinct over non-null)."""
@@ -126,8 +128,7 @@ def _shares(df: DataFrame, bucket: Column, name: str) -> DataFrame:
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability index over the reference's quantile bins; values beyond its range are left out."""
-    edges = reference.agg(*[F.expr(f"percentile({column}, {i / bins}D)").alias(f"q{i}") for i in range(bins + 1)]).first()
-    edge = sorted({float(x) for x in edges if x is not None})
+    edge = sorted({float(x) for x in exact_quantiles(reference, column, [i / bins for i in range(bins + 1)]) if x is not None})
     if len(edge) < 2:
         return reference.sparkSession.createDataFrame([(0.0,)], "psi double")
     bucket = F.when((F.col(column) >= edge[0]) & (F.col(column) <= edge[-1]), F.least(F.size(F.filter(F.array(*map(F.lit, edge)), lambda e: e <= F.col(column))), F.lit(len(edge) - 1)))
@@ -325,12 +326,11 @@ def compatible(old: dict[str, tuple[str, bool]], new: dict[str, tuple[str, bool]
 
 
 def fit_transforms(df: DataFrame, spec: dict[str, str]) -> dict[str, tuple]:
-    """One aggregate for all: per column (kind, parameters); kinds: minmax, standard, mean_fill, median_fill, clip."""
-    aggs = []
-    for c in spec:
-        aggs += [F.min(c), F.max(c), F.avg(c), F.stddev_pop(c), F.median(c), F.expr(f"percentile({c}, 0.01D)"), F.expr(f"percentile({c}, 0.99D)")]
+    """One aggregate for all, and exact quantiles where a kind needs them: per column (kind, parameters); kinds: minmax, standard, mean_fill, median_fill, clip."""
+    aggs = [x for c in spec for x in (F.min(c), F.max(c), F.avg(c), F.stddev_pop(c))]
     row = df.agg(*aggs).first()
-    return {c: (kind, tuple(row[7 * i : 7 * i + 7])) for i, (c, kind) in enumerate(spec.items())}
+    rest = {c: exact_quantiles(df, c, [0.5, 0.01, 0.99]) if kind in ("median_fill", "clip") else [None] * 3 for c, kind in spec.items()}
+    return {c: (kind, (*row[4 * i : 4 * i + 4], *rest[c])) for i, (c, kind) in enumerate(spec.items())}
 
 
 def transform_columns(df: DataFrame, fitted: dict[str, tuple]) -> DataFrame:

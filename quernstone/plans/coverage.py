@@ -11,6 +11,7 @@ from quernstone.functions import scalar
 from quernstone.operators import aggs, graph, ivm, joins, lake, provenance, quality
 from quernstone.plans.dsl import Features, Metrics, Pipeline
 from quernstone.plans.registry import query
+from quernstone.plans.sqlpair import sql_query
 from quernstone.plans.streams import _folder
 from quernstone.sources import readers
 from quernstone.sources.tables import table
@@ -508,3 +509,54 @@ def rate_trends(spark, sf):
     d = table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("y"))
     w = Window.orderBy("day")  # one row a day
     return d.select("day", *[F.round(F.col("y") - F.avg("y").over(w.rowsBetween(-n, 0)), 6).alias(f"t{n}") for n in (7, 30, 90)])
+
+
+# Joins: any cyclic query in one shuffle, and an as-of join without a key.
+_G = "g AS (SELECT DISTINCT user_id % 60 AS a, event_id % 61 AS b FROM events WHERE value > 95)"
+
+
+def _cyclic(name, shape, sql):
+    """How many results each x is in."""
+
+    @query(name, f"WITH {_G}, j AS ({sql}) SELECT x, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY x")
+    def run(spark, sf):
+        g = table(spark, sf, "events").filter("value > 95").select((F.col("user_id") % 60).alias("a"), (F.col("event_id") % 61).alias("b")).distinct()
+        return joins.generic_join([g.toDF(*pair) for pair in shape]).groupBy("x").agg(F.count("*").alias("n"))
+
+
+_cyclic("generic_join_triangle", [("x", "y"), ("y", "z"), ("z", "x")], "SELECT p.a AS x, p.b AS y, q.b AS z FROM g p JOIN g q ON p.b = q.a JOIN g r ON q.b = r.a AND r.b = p.a")
+_cyclic("generic_join_bowtie", [("x", "y"), ("y", "z"), ("z", "x"), ("x", "u"), ("u", "v"), ("v", "x")], "SELECT p.a AS x, p.b AS y, q.b AS z, s.b AS u, t.b AS v FROM g p JOIN g q ON p.b = q.a JOIN g r ON q.b = r.a AND r.b = p.a JOIN g s ON s.a = p.a JOIN g t ON t.a = s.b JOIN g w ON w.a = t.b AND w.b = p.a")
+_cyclic("generic_join_four_cycle", [("x", "y"), ("y", "z"), ("z", "w"), ("w", "x")], "SELECT p.a AS x, p.b AS y, q.b AS z, r.b AS w FROM g p JOIN g q ON p.b = q.a JOIN g r ON q.b = r.a JOIN g s ON r.b = s.a AND s.b = p.a")
+
+
+@query("asof_without_key", "SELECT p.event_id, coalesce(c.event_id, -1) AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.ts >= c.ts")
+def asof_without_key(spark, sf):
+    e = table(spark, sf, "events")
+    right = e.filter("event_type = 'click'").select(F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    out = joins.asof_join(e.filter("event_type = 'purchase'").select("event_id", "ts"), right, [], "ts", "click_ts", ["click_id"], tie="click_id")
+    return out.select("event_id", F.coalesce("click_id", F.lit(-1).cast("long")).alias("click_id"))
+
+
+@query("asof_hot_keys", "SELECT p.event_id, coalesce(c.event_id, -1) AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id % 3 = c.user_id % 3 AND p.ts >= c.ts")
+def asof_hot_keys(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.col("user_id") % 3)
+    right = e.filter("event_type = 'click'").select("k", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    out = joins.asof_join(e.filter("event_type = 'purchase'").select("event_id", "k", "ts"), right, ["k"], "ts", "click_ts", ["click_id"], tie="click_id", ranges=True)
+    return out.select("event_id", F.coalesce("click_id", F.lit(-1).cast("long")).alias("click_id"))
+
+
+# Shapes of join-order benchmarks over the star schema: chains, stars, snowflakes, self-joins and cycles of up to nine tables, least values out.
+_SHAPES = {
+    "chain": "SELECT min(r_name) AS a, min(c_name) AS b, min(o_totalprice) AS c FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderpriority LIKE '1%' AND c_mktsegment = 'BUILDING'",
+    "star": "SELECT min(p_name) AS a, min(s_name) AS b, min(o_orderdate) AS c FROM lineitem, part, supplier, orders WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND l_orderkey = o_orderkey AND p_size IN (1, 5, 9) AND s_acctbal > 0 AND o_orderstatus = 'F'",
+    "snowflake": "SELECT min(p_type) AS a, min(n1.n_name) AS b, min(n2.n_name) AS c, min(l_extendedprice) AS d FROM lineitem, part, supplier, orders, customer, nation n1, nation n2 WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND p_brand LIKE 'Brand#1%' AND l_quantity > 40",
+    "two_snowflakes": "SELECT min(r1.r_name) AS a, min(r2.r_name) AS b, min(p_name) AS c FROM lineitem, part, supplier, orders, customer, nation n1, nation n2, region r1, region r2 WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND n2.n_regionkey = r2.r_regionkey AND r1.r_name <> r2.r_name AND p_size < 10",
+    "same_nation_cycle": "SELECT min(c_name) AS a, min(s_name) AS b, min(l_extendedprice) AS c FROM customer, orders, lineitem, supplier, nation WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND l_returnflag = 'R'",
+    "self_join": "SELECT min(a.o_orderkey) AS a, min(b.o_orderkey) AS b, CAST(count(*) AS BIGINT) AS n FROM orders a, orders b, customer WHERE a.o_custkey = c_custkey AND b.o_custkey = c_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus = 'P' AND b.o_orderpriority LIKE '2%' AND c_acctbal > 5000",
+    "part_pairs": "SELECT min(p1.p_name) AS a, min(p2.p_name) AS b, CAST(count(*) AS BIGINT) AS n FROM lineitem l1, lineitem l2, part p1, part p2 WHERE l1.l_orderkey = l2.l_orderkey AND l1.l_linenumber < l2.l_linenumber AND l1.l_partkey = p1.p_partkey AND l2.l_partkey = p2.p_partkey AND p1.p_size = 1 AND p2.p_size = 2",
+    "or_and_in": "SELECT min(n_name) AS a, min(s_name) AS b, CAST(count(*) AS BIGINT) AS n FROM supplier, nation, lineitem, part WHERE s_nationkey = n_nationkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey AND (p_type LIKE 'PROMO%' OR p_size > 45) AND n_name IN (SELECT n_name FROM nation WHERE n_regionkey IN (1, 2))",
+    "exists_chain": "SELECT min(c_name) AS a, CAST(count(*) AS BIGINT) AS n FROM customer, nation WHERE c_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM orders, lineitem WHERE o_custkey = c_custkey AND l_orderkey = o_orderkey AND l_discount > 0.09) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
+    "date_bands": "SELECT min(c_name) AS a, min(o_totalprice) AS b, max(l_shipdate) AS c FROM customer, orders, lineitem, supplier, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND l_shipdate > o_orderdate AND n_name LIKE '%A%'",
+}
+for _name, _sql in _SHAPES.items():
+    sql_query(f"join_order_{_name}", _sql)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quernstone.operators.windows import first_numbered, global_ntile, global_rank
+from quernstone.plans.registry import query
 from quernstone.plans.sqlpair import sql_query as q
+from quernstone.sources.tables import table
 
 # Decision support over the star schema (q1 is in tpch.py).
 q("tpch_q3", """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(CAST(o_orderdate AS DATE) AS STRING) AS o_date
@@ -82,14 +87,24 @@ CAST(ntile(4) OVER w AS BIGINT) AS nt FROM orders WINDOW w AS (PARTITION BY o_cu
 q("win_lag_lead", "SELECT event_id, lag(value, 1) OVER w AS before, lead(value, 2) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 q("win_rows_sum_avg", "SELECT event_id, round(sum(value) OVER w, 4) AS s, round(avg(value) OVER w, 4) AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 q("win_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 2) AS running, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders")
-q("win_rank_over_aggregate", "SELECT o_custkey, CAST(rank() OVER (ORDER BY round(sum(o_totalprice), 2) DESC) AS BIGINT) AS rk FROM orders GROUP BY o_custkey")
+@query("win_rank_over_aggregate", "SELECT o_custkey, CAST(rank() OVER (ORDER BY round(sum(o_totalprice), 2) DESC) AS BIGINT) AS rk FROM orders GROUP BY o_custkey")
+def rank_over_aggregate(spark, sf):
+    sums = table(spark, sf, "orders").groupBy("o_custkey").agg((-F.round(F.sum("o_totalprice"), 2)).alias("s"))
+    return global_rank(sums, "s", "rk").select("o_custkey", F.col("rk").cast("long").alias("rk"))
+
+
 q("win_topn_per_group", "SELECT * FROM (SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rn FROM customer) t WHERE rn <= 2")
 q("win_range_24h", "SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
 q("win_ytd", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS ytd FROM orders")
-q("rfm", """WITH c AS (SELECT o_custkey, datediff(DATE '2002-01-01', CAST(max(o_orderdate) AS DATE)) AS recency, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY o_custkey)
-SELECT o_custkey, concat(CAST(ntile(5) OVER (ORDER BY recency DESC, o_custkey) AS STRING), CAST(ntile(5) OVER (ORDER BY frequency, o_custkey) AS STRING), CAST(ntile(5) OVER (ORDER BY monetary, o_custkey) AS STRING)) AS rfm FROM c""",
-"""WITH c AS (SELECT o_custkey, datediff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') AS recency, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY o_custkey)
+@query("rfm", """WITH c AS (SELECT o_custkey, datediff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') AS recency, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY o_custkey)
 SELECT o_custkey, concat(CAST(ntile(5) OVER (ORDER BY recency DESC, o_custkey) AS VARCHAR), CAST(ntile(5) OVER (ORDER BY frequency, o_custkey) AS VARCHAR), CAST(ntile(5) OVER (ORDER BY monetary, o_custkey) AS VARCHAR)) AS rfm FROM c""")
+def rfm(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg((-F.datediff(F.lit("2002-01-01").cast("date"), F.max("o_orderdate").cast("date"))).alias("recency"), F.count("*").alias("frequency"), F.round(F.sum("o_totalprice"), 2).alias("monetary"))
+    for c in ("recency", "frequency", "monetary"):
+        o = global_ntile(o, [c, "o_custkey"], 5, f"_{c}")
+    return o.select("o_custkey", F.concat(*[F.col(f"_{c}").cast("string") for c in ("recency", "frequency", "monetary")]).alias("rfm"))
+
+
 q("mom_yoy", """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1)
 SELECT CAST(month AS STRING) AS month, revenue, round(revenue / NULLIF(lag(revenue) OVER (ORDER BY month), 0) - 1, 6) AS mom, round(revenue / NULLIF(lag(revenue, 12) OVER (ORDER BY month), 0) - 1, 6) AS yoy FROM m""")
 q("cohort_ltv", """WITH f AS (SELECT o_custkey, year(min(o_orderdate)) AS cohort FROM orders GROUP BY o_custkey), s AS (SELECT cohort, count(*) AS size FROM f GROUP BY cohort),
@@ -104,7 +119,11 @@ q("rate_trend", "SELECT event_type, max_by(value, struct(ts, event_id)) FILTER (
 q("sort_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 10")
 q("sort_multi_key", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 50")
 q("topk_group_count", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
-q("topn_rank_column", "SELECT CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS place, s_suppkey FROM supplier ORDER BY place LIMIT 10")
+@query("topn_rank_column", "SELECT CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS place, s_suppkey FROM supplier ORDER BY place LIMIT 10")
+def topn_rank_column(spark, sf):
+    return first_numbered(table(spark, sf, "supplier"), [F.desc("s_acctbal"), "s_suppkey"], 10, "place").select("place", "s_suppkey")
+
+
 q("set_union_all", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region")
 q("set_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 q("set_intersect", "SELECT l_partkey AS k FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size < 10")

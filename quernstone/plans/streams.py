@@ -13,8 +13,10 @@ from quernstone.streaming import asof, cdc, cep, watermarks, windows
 
 
 def _folder(spark) -> str:
-    """The shared folder for checkpoints; a local one only where none is set, as in tests."""
+    """The shared folder for checkpoints; in local mode (tests), where none is set, a local one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/streams" if base else tempfile.mkdtemp(prefix="streams")
 
 
@@ -72,14 +74,14 @@ def cep_stream(spark, sf):
 
 
 def _recorded(spark, sf):
-    """Events with an arrival up to two hours after, by a hash of their id."""
+    """Events with an arrival up to two hours after, by a number that their id gives."""
     e = table(spark, sf, "events").withColumn("event", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return e.withColumn("arrival", F.col("event") + F.pmod(F.xxhash64("event_id"), F.lit(7200)))
+    return e.withColumn("arrival", F.col("event") + (F.col("event_id") * 7919) % 7200)
 
 
-@query("asof_corrections_stand", "SELECT p.event_id AS left_id, coalesce(c.event_id, -1) AS right_id FROM (SELECT * FROM events WHERE event_type = 'purchase' AND user_id < 20) p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click' AND user_id < 20) c ON p.user_id = c.user_id AND p.ts >= c.ts")
+@query("asof_corrections_stand", "SELECT p.event_id AS left_id, coalesce(c.event_id, -1) AS right_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 def corrections(spark, sf):
-    e = _recorded(spark, sf).filter("user_id < 20 AND event_type IN ('purchase', 'click')").select("user_id", "event", "arrival", F.when(F.col("event_type") == "purchase", "left").otherwise("right").alias("side"), F.col("event_id").cast("double").alias("v"))
+    e = _recorded(spark, sf).filter("event_type IN ('purchase', 'click')").select("user_id", "event", "arrival", F.when(F.col("event_type") == "purchase", "left").otherwise("right").alias("side"), F.col("event_id").cast("double").alias("v"))
 
     def run(pdf):
         import pandas as pd
@@ -92,7 +94,11 @@ def corrections(spark, sf):
     return standing.select(F.col("left_value").cast("long").alias("left_id"), F.coalesce(F.nanvl("right_value", F.lit(None)), F.lit(-1.0)).cast("long").alias("right_id"))
 
 
-@query("watermark_replay")
+_REPLAY = """{name} AS (SELECT '{text}' AS strategy, round(count(*) FILTER (NOT coalesce(b >= e, false)) / count(*), 6) AS completeness, CAST(count(*) FILTER (coalesce(b >= e, false)) AS BIGINT) AS late FROM (SELECT *, (floor(ev / 600) + 1) * 600 AS e, lag(wm) OVER (PARTITION BY user_id ORDER BY ar, ev) AS b FROM (SELECT *, max(raw) OVER (PARTITION BY user_id ORDER BY ar, ev ROWS UNBOUNDED PRECEDING) AS wm FROM
+(SELECT *, max(ev) OVER (PARTITION BY user_id ORDER BY ar, ev ROWS UNBOUNDED PRECEDING) - {lag} AS raw FROM r) q) w) l)"""
+
+
+@query("watermark_replay", "WITH r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS ev, epoch_us(ts) / 1e6 + (event_id * 7919) % 7200 AS ar FROM events), " + _REPLAY.format(name="a", text="fixed_1h", lag="3600") + ", " + _REPLAY.format(name="b", text="p95", lag="quantile_cont(greatest(ar - ev, 0), 0.95) OVER (PARTITION BY user_id ORDER BY ar, ev ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)") + " SELECT * FROM a UNION ALL SELECT * FROM b")
 def replay(spark, sf):
     e = _recorded(spark, sf)
     out = None
@@ -103,10 +109,12 @@ def replay(spark, sf):
     return out
 
 
-@query("exactly_once_checks", "SELECT 'gap' AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS b FROM events) t WHERE b IS NOT NULL AND event_id <> b + 1")
+@query("exactly_once_checks", "SELECT 'duplicate' AS kind, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 10 = 0 UNION ALL SELECT 'gap', CAST(count(*) AS BIGINT) AS n FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS b FROM events) t WHERE b IS NOT NULL AND event_id <> b + 1")
 def exactly_once(spark, sf):
     e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 3).alias("producer"))
-    return cdc.exactly_once_violations(e.withColumn("id", F.col("event_id")), "id", "producer", "event_id", "event_id").groupBy("kind").agg(F.count("*").alias("n"))
+    log = e.withColumn("id", F.col("event_id")).withColumn("position", F.col("event_id") * 2)
+    again = log.filter("id % 10 = 0").withColumn("position", F.lit(1 << 40) + F.col("id")).withColumn("producer", F.col("id") + 1000)  # sent once more, by others
+    return cdc.exactly_once_violations(log.unionAll(again), "id", "producer", "event_id", "position").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("cdc_soft_delete", "SELECT user_id, max(event_id) AS lsn, arg_max(event_type, event_id) = 'error' AS deleted FROM events GROUP BY user_id")
