@@ -228,3 +228,114 @@ def test_interval_coverage(spark):
 def test_global_watermark(spark):
     df = spark.createDataFrame([("a", 5.0), ("a", 9.0), ("b", 7.0)], "k string, w double")
     assert watermarks.global_watermark(df, "w", "k").first()[0] == 7.0
+
+
+class _Handle:
+    """A state store in memory, with the calls that keyed state makes."""
+
+    def __init__(self):
+        self.made = {}
+
+    def getListState(self, name, schema, ttl=None):
+        return self.made.setdefault(name, _ListStore())
+
+    def getMapState(self, name, key, schema, ttl=None):
+        return self.made.setdefault(name, _MapStore())
+
+
+class _ListStore(list):
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return iter(list(self))
+
+    def appendValue(self, v):
+        self.append(v)
+
+    def put(self, vs):
+        self[:] = vs
+
+
+class _MapStore(dict):
+    writes = 0
+
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self[k] = v
+
+    def removeKey(self, k):
+        del self[k]
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_list_and_map_state():
+    from quernstone.streaming.state import List, Map
+
+    h = _Handle()
+    rows = List(h, "rows", "v int")
+    assert rows.get() == []
+    rows.add(1)
+    rows.add(2)
+    rows.update([*rows.get(), 3])
+    assert List(h, "rows", "v int").get() == [1, 2, 3]
+    m = Map(h, "m", "k string", "v int", ttl=10, refresh=True)
+    m.put("a", 1)
+    assert m.get("a") == 1 and m.get("b", 0) == 0 and m.items() == [("a", 1)] and h.made["m"].writes == 2
+    m.remove("a")
+    assert m.items() == []
+
+
+def test_exact_quantiles_and_ranks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quernstone.operators.windows import exact_quantiles, first_numbered, global_ntile, global_rank
+
+    x = np.random.default_rng(0).integers(0, 300, 1000) / 7
+    df = spark.createDataFrame([(float(v), k) for k, v in enumerate(x)] + [(None, -1)], "v double, id int")
+    ranks = [0.0, 0.013, 0.5, 0.77, 1.0]
+    assert np.allclose(exact_quantiles(df, "v", ranks), np.quantile(x, ranks)) and exact_quantiles(df.filter("id < -5"), "v", [0.5]) == [None]
+    some = df.filter("v IS NOT NULL")
+    got = {r.id: r for r in global_rank(global_ntile(some, ["v", "id"], 7, "t"), "v", "rk").collect()}
+    order = sorted(range(1000), key=lambda k: (x[k], k))
+    sizes = [143] * 6 + [142]
+    tile = [t + 1 for t, n in enumerate(sizes) for _ in range(n)]
+    assert all(got[k].t == tile[i] and got[k].rk == 1 + int((x < x[k]).sum()) for i, k in enumerate(order))
+    assert [(r.rn, r.id) for r in first_numbered(some, [F.desc("v"), "id"], 3).orderBy("rn").collect()] == [(i + 1, k) for i, k in enumerate(sorted(range(1000), key=lambda k: (-x[k], k))[:3])]
+
+
+def test_generic_join_against_pandas(spark):
+    import numpy as np
+
+    from quernstone.operators.joins import generic_join
+
+    rng = np.random.default_rng(1)
+    r, s, t = ({(int(a), f"k{b}") for a, b in rng.integers(0, 12, (60, 2))}, {(f"k{a}", int(b)) for a, b in rng.integers(0, 12, (60, 2))}, {(int(a), int(b)) for a, b in rng.integers(0, 12, (60, 2))})
+    frames = [spark.createDataFrame(sorted(r) + [(None, "k1")], "x int, y string"), spark.createDataFrame(sorted(s), "y string, z int"), spark.createDataFrame(sorted(t), "x int, z int")]
+    want = {(x, y, z) for x, y in r for y2, z in s if y2 == y if (x, z) in t}
+    out = generic_join(frames, cells=27)
+    assert {(row.x, row.y, row.z) for row in out.collect()} == want and out.count() == len(want)
+    assert generic_join([frames[0], frames[1].limit(0)]).count() == 0
+
+
+def test_fuzzy_match_loses_no_pair(spark):
+    """Amounts far apart that the weights still let through, and a row whose best partner prefers another."""
+    import datetime as dt
+
+    from quernstone.operators.joins import fuzzy_match
+
+    d = dt.date(2024, 1, 5)
+    left = spark.createDataFrame([(1, "inv 77", 100.0, d), (2, "inv 78", 100.0, d), (3, "other", 5.0, d)], "k int, r string, a double, d date")
+    right = spark.createDataFrame([(10, "inv 77", 40.0, d), (11, "inv 78", 100.0, d), (12, "inv 79", 100.0, d)], "k int, r string, a double, d date")
+    got = {(x.lk, x.rk) for x in fuzzy_match(left, right, "k", "r", "a", "d").collect()}
+    assert got == {(2, 11), (1, 12)} or got == {(2, 11), (1, 10)}
+    assert {(x.lk, x.rk) for x in fuzzy_match(left.filter("k = 1"), right.filter("k = 10"), "k", "r", "a", "d").collect()} == {(1, 10)}
