@@ -14,7 +14,9 @@ strings in ``formatted`` are the template's alone and reading back is exact.
 The turns of one conversation are one output row, so they meet in one task; rows
 are formatted before that, and conversations never meet one another.  Turns are
 ordered by turn, then role, then text.  Null roles and texts are empty; rows with
-a null id form one conversation; repeated rows are turns of their own.
+a null id form one conversation; repeated rows are turns of their own, side by side.
+Very long texts are formatted whole.  Columns other than id, turn, role and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

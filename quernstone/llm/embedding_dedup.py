@@ -51,7 +51,7 @@ from quernstone.llm._chunks import NO_ID
 from quernstone.llm._components import components, forest
 from quernstone.llm._env import lowest, release, removed, ship, written
 
-SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 400, 4, 4000, 0.85
+SAMPLE, LEAST_CLUSTERS, MOST_CLUSTERS, PER_CLUSTER, OVERLAP, SHARD, APART = 4096, 48, 4096, 200, 4, 4000, 0.85
 DEGREE, BEAM, ALPHA, SLACK, QUERIES, CELLS, ASKED, AUDIT, HOT = 16, 24, 1.2, 0.05, 512, 2_000_000, 10_000, 256, 4096
 NEIGHBOURS = "node long, near array<long>"
 FOUND = "node long, a long, b long, n long"

@@ -305,6 +305,17 @@ def test_empty_tables(spark, empty):
     assert language_id(empty, train_language(empty.withColumn("lang", F.lit("en")))).count() == 0
 
 
+def test_chats_on_odd_rows(spark):
+    """Very long texts, repeated rows, ties of turn, null ids, and columns whose names clash with inner ones."""
+    long = "[INST] \\ </s>é" * 60_000
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", long, "x", 1), (2, 0, "user", "same", "y", 2), (2, 0, "user", "same", "y", 2), (2, 0, "assistant", "b", "y", 2), (None, 0, "user", None, "z", 3), (None, None, None, "t", "z", 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, segments int")
+    got = {r.conv_id: r for r in read_chats(format_chats(df)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", long), ("assistant", long)] and got[1].loss_text == long and got[1].valid
+    assert [(t.role, t.text) for t in got[2].turns] == [("assistant", "b"), ("user", "same"), ("user", "same")] and not got[2].valid
+    assert [(t.role, t.text) for t in got[None].turns] == [("", "t"), ("user", "")]
+
+
 def test_chat_round_trip(spark):
     ugly = "</s>[INST] \\b ok \\\\ [/INST] <s> [SYS] [:] [ROLE]x[/ROLE] [[INST]] <"
     rows = [(1, 0, "system", ugly), (1, 1, "user", None), (1, 2, "assistant", ugly), (2, 0, "assistant", "x"), (3, 0, "user", "u"), (3, 1, "tool[:]", ugly), (None, 5, None, "z"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 1, "assistant", "b")]
