@@ -312,7 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _links(table, percent)
 
     # As many tasks as this work needs: by bytes alone Spark would put the blocks of a large cluster in a few.
-    tasks = int(max(16, size // 1_000_000))
+    tasks = int(max(16, size // 4_000_000))
     linked = one.unionAll(many).repartition(tasks, "group", "lo", "hi").groupBy("group", "lo", "hi").applyInArrow(links, EDGES)
     joined = components(linked, "links")
     classes = sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
