@@ -116,6 +116,14 @@ bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user') WHEN before = 'system'
 AND arg_max(role, i) = 'assistant' AS valid
 FROM o GROUP BY conv_id"""
 
+SQL5 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+p(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.a, l.b FROM p JOIN l ON l.a = p.b),
+m AS (SELECT a AS vec_id, min(b) AS c FROM p GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(m.c, e.vec_id) AS BIGINT) AS component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM embeddings e LEFT JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
 SQL9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
 g AS (SELECT doc_id, p, array_to_string(a[p:p+12], ' ') AS k FROM w, unnest(range(1, len(a) - 11)) AS t(p)),
@@ -127,4 +135,4 @@ sha256(coalesce(array_to_string(list_filter(a, lambda x, i: NOT list_contains(co
 FROM w LEFT JOIN d USING (doc_id)"""
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_bpe": op3_bpe, "op4_token_files": op4_token_files, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_substring_dedup": op9_substring_dedup, "op10_license_scan": op10_license_scan}
-ORACLES = {"op2_chat_format": SQL2, "op10_license_scan": license_oracle(), "op1_ngram_jaccard": SQL1, "op9_substring_dedup": SQL9}
+ORACLES = {"op2_chat_format": SQL2, "op10_license_scan": license_oracle(), "op1_ngram_jaccard": SQL1, "op5_embedding_dedup": SQL5, "op9_substring_dedup": SQL9}

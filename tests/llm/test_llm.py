@@ -592,7 +592,7 @@ def test_gradients_of_the_network():
         assert abs((up - down) / (2 * e) - grad[at]) < 0.02 + 0.02 * abs(grad[at])
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op2_chat_format", "op9_substring_dedup", "op10_license_scan"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op2_chat_format", "op5_embedding_dedup", "op9_substring_dedup", "op10_license_scan"])
 def test_queries_agree_with_sql(spark, sf, name):
     from oracle import connection, same
 
