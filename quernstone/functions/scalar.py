@@ -45,6 +45,37 @@ def hilbert_key(x: Column, y: Column, bits: int = 8) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), start, step)["d"]
 
 
+def hilbert_key_nd(columns: list[Column], bits: int = 8) -> Column:
+    """Place of a point on the Hilbert curve in any number of dimensions (at most 62 bits in all), by Skilling's transform.
+
+    One fold undoes the rotations from the highest bit down, one axis after the other;
+    a Gray code of the axes and a last parity follow, and the bits are interleaved.
+    """
+    n = len(columns)
+    lit = lambda v: F.lit(v).cast("long")
+    steps = F.array(*[F.struct(lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)])
+
+    def turn(x: Column, s: Column) -> Column:
+        first, own, low = F.get(x, F.lit(0)), F.get(x, s["i"]), s["q"] - 1
+        hit = own.bitwiseAND(s["q"]) != 0
+        swap = first.bitwiseXOR(own).bitwiseAND(low)
+        return F.transform(x, lambda v, k: F.when(k == 0, F.when(hit, v.bitwiseXOR(low)).otherwise(v.bitwiseXOR(swap))).when(k == s["i"], F.when(hit, v).otherwise(v.bitwiseXOR(swap))).otherwise(v))
+
+    x = F.array(*[c.cast("long") for c in columns])
+    x = F.aggregate(steps, x, turn) if bits > 1 else x
+    gray = F.aggregate(x, F.struct(F.array().cast("array<bigint>").alias("a"), lit(0).alias("b")), lambda s, v: F.struct(F.concat(s["a"], F.array(v.bitwiseXOR(s["b"]))).alias("a"), v.bitwiseXOR(s["b"]).alias("b")))["a"]
+    marks = F.array(*[lit(1 << b) for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<bigint>")
+
+    def interleaved(g: Column) -> Column:
+        parity = F.aggregate(marks, lit(0), lambda t, q: F.when(F.get(g, F.lit(n - 1)).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        axes = F.transform(g, lambda v: v.bitwiseXOR(parity))
+        order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
+        bit = lambda s: F.call_function("shiftright", F.get(axes, s["i"]), s["b"]).bitwiseAND(lit(1))
+        return F.aggregate(order, lit(0), lambda d, s: d * 2 + bit(s))
+
+    return F.aggregate(F.array(gray), lit(0), lambda _, g: interleaved(g))
+
+
 def amount_bucket(c: Column) -> Column:
     return F.when(c < 10, "micro").when(c < 100, "small").when(c < 1000, "medium").when(c < 10000, "large").otherwise("whale")
 

@@ -41,6 +41,43 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     return out.select("_l.*", F.when(fresh, F.col("_m.ts")).alias(f"matched_{right_ts}"), *named)
 
 
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, right_cols: list[str], **options) -> DataFrame:
+    """Each left row with the earliest right row of the same keys at or after its time: an as-of join over negated time."""
+    back = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
+    out = asof_join(left.withColumn("_to", back(left_ts)), right.withColumn("_from", back(right_ts)), by, "_to", "_from", [right_ts, *right_cols], **options)
+    return out.drop("_to", "matched__from")
+
+
+class Timeline:
+    """Keyed points in time under inserts and deletes, as a signed multiset; all questions are joins over what stands."""
+
+    def __init__(self, rows: DataFrame, by: list[str], ts: str):
+        from quernstone.operators import ivm
+
+        self.ivm, self.by, self.ts, self.rows = ivm, by, ts, ivm.signed(rows)
+
+    def insert(self, rows: DataFrame) -> Timeline:
+        self.rows = self.rows.unionByName(self.ivm.signed(rows))
+        return self
+
+    def delete(self, rows: DataFrame) -> Timeline:
+        """Each row given takes away one equal row, if there is one."""
+        self.rows = self.rows.unionByName(self.ivm.signed(rows, -1))
+        return self
+
+    def standing(self) -> DataFrame:
+        return self.ivm.visible(self.ivm.consolidate(self.rows).filter(F.col(self.ivm.DIFF) > 0))
+
+    def predecessor(self, asked: DataFrame, ts: str, columns: list[str], **options) -> DataFrame:
+        return asof_join(asked, self.standing(), self.by, ts, self.ts, columns, **options)
+
+    def successor(self, asked: DataFrame, ts: str, columns: list[str], **options) -> DataFrame:
+        return asof_forward(asked, self.standing(), self.by, ts, self.ts, columns, **options)
+
+    def range_query(self, asked: DataFrame, ts: str, before: int, after: int) -> DataFrame:
+        return interval_join(asked, self.standing(), self.by, ts, self.ts, before, after)
+
+
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, before: int, after: int) -> DataFrame:
     """Pairs of equal keys whose right time lies from ``before`` seconds before to ``after`` seconds after the left time.
 

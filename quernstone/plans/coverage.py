@@ -560,3 +560,30 @@ _SHAPES = {
 }
 for _name, _sql in _SHAPES.items():
     sql_query(f"join_order_{_name}", _sql)
+
+
+@query("timeline_ops", """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type IN ('click', 'view') AND event_id % 5 <> 0), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+b AS (SELECT p.event_id, coalesce(c.event_id, -1) AS before FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts), a AS (SELECT p.event_id, coalesce(c.event_id, -1) AS after FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts <= c.ts),
+n AS (SELECT p.event_id, count(c.event_id) AS n FROM p LEFT JOIN c ON p.user_id = c.user_id AND c.ts BETWEEN p.ts - INTERVAL 2 HOURS AND p.ts + INTERVAL 1 HOUR GROUP BY p.event_id) SELECT event_id, before, after, CAST(n AS BIGINT) AS near FROM b JOIN a USING (event_id) JOIN n USING (event_id)""")
+def timeline_ops(spark, sf):
+    e = table(spark, sf, "events").select("event_type", "event_id", "user_id", "ts")
+    points = lambda p: e.filter(p).select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    line = joins.Timeline(points("event_type = 'click'"), ["user_id"], "at").insert(points("event_type = 'view'")).delete(points("event_type IN ('click', 'view') AND event_id % 5 = 0"))
+    asked, none = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), F.lit(-1).cast("long")
+    before = line.predecessor(asked, "ts", ["id"]).select("event_id", F.coalesce("id", none).alias("before"))
+    after = line.successor(asked, "ts", ["id"]).select("event_id", F.coalesce("id", none).alias("after"))
+    near = line.range_query(asked, "ts", 7200, 3600).groupBy("event_id").agg(F.count("*").alias("near"))
+    return before.join(after, "event_id").join(near, "event_id", "left").select("event_id", "before", "after", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
+
+
+@query("fn_hilbert_nd", " UNION ALL ".join(f"SELECT {d} AS dimensions, CAST({2 ** (d * b)} AS BIGINT) AS n, CAST(0 AS BIGINT) AS lo, CAST({2 ** (d * b) - 1} AS BIGINT) AS hi, CAST({2 ** (d * b) - 1} AS BIGINT) AS neighbours" for d, b in ((2, 4), (3, 3), (4, 2))))
+def hilbert_nd(spark, sf):
+    out = None
+    for d, b in ((2, 4), (3, 3), (4, 2)):
+        axes = [F.shiftright("id", b * i).bitwiseAND(F.lit((1 << b) - 1)).alias(f"x{i}") for i in range(d)]
+        k = spark.range(1 << d * b).select(*axes).withColumn("d", scalar.hilbert_key_nd([F.col(f"x{i}") for i in range(d)], b))
+        w = Window.orderBy("d")  # a few hundred rows
+        step = sum((F.abs(F.col(f"x{i}") - F.lag(f"x{i}").over(w)) for i in range(d)), F.lit(0))
+        one = k.withColumn("s", step).agg(F.lit(d).alias("dimensions"), F.countDistinct("d").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("s") == 1).alias("neighbours"))
+        out = one if out is None else out.unionAll(one)
+    return out
