@@ -587,3 +587,12 @@ def hilbert_nd(spark, sf):
         one = k.withColumn("s", step).agg(F.lit(d).alias("dimensions"), F.countDistinct("d").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("s") == 1).alias("neighbours"))
         out = one if out is None else out.unionAll(one)
     return out
+
+
+@query("stream_alerts", "SELECT CAST(user_id AS VARCHAR) AS key, event_id, value AS amount FROM events WHERE event_type = 'purchase' AND value > 60")
+def stream_alerts(spark, sf):
+    out = _new(spark, "alerts")
+    e = windows.parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet").filter("event_type = 'purchase' AND value > 60").select("user_id", "event_id", "value")
+    cdc.write_alerts(e, "user_id", "json", _new(spark, "alerts-at"), {"path": out}).awaitTermination()
+    got = spark.read.schema("key STRING, value STRING").json(out).withColumn("v", F.from_json("value", "event_id BIGINT, value DOUBLE"))
+    return got.select("key", F.col("v.event_id").alias("event_id"), F.col("v.value").alias("amount"))

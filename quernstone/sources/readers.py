@@ -106,3 +106,15 @@ def new_files(spark: SparkSession, path: str, seen: DataFrame, after=None) -> Da
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     out = files.join(seen.select("path", "length"), ["path", "length"], "left_anti")
     return out.withColumn("late", F.col("modified") < F.lit(after) if after is not None else F.lit(False))
+
+
+def pushdown(df: DataFrame) -> dict[str, list[str]]:
+    """Which filters of a plan its scans take (pushed, partition) and which stay above them (residual), as the physical plan states them."""
+    import re
+
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    found: dict[str, list[str]] = {}
+    for name, label in (("pushed", "PushedFilters"), ("partition", "PartitionFilters")):
+        found[name] = [x for part in re.findall(label + r": \[(.*?)\](?:,|$)", text, re.M) for x in re.split(r", (?=[A-Za-z]+\()", part) if x]
+    found["residual"] = re.findall(r"^[ +:*()0-9-]*Filter (.*)$", text, re.M)
+    return found

@@ -85,3 +85,13 @@ ORDER_EVENTS = T.StructType([T.StructField("order_id", T.LongType()), T.StructFi
 def json_orders(stream: DataFrame, column: str = "value") -> DataFrame:
     """Order events from JSON text, with the time as TIMESTAMP."""
     return stream.select(F.from_json(F.col(column).cast("string"), ORDER_EVENTS).alias("o")).select("o.*").withColumn("event_time", F.to_timestamp("event_time"))
+
+
+def alert_rows(df: DataFrame, key: str) -> DataFrame:
+    """Rows as a message sink takes them: key and value (all columns as JSON), both text."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+
+
+def write_alerts(stream: DataFrame, key: str, format: str, checkpoint: str, options: dict[str, str]):
+    """Start an append query that writes alerts to any sink of key and value rows (a message broker where its format is installed, else files)."""
+    return alert_rows(stream, key).writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).start()

@@ -113,3 +113,17 @@ class Pid:
         kp, ki, kd = self.k
         self.value = max(self.low, min(self.high, self.value * (1 + kp * error + ki * self.total + kd * slope)))
         return self.value
+
+
+class TokenBucket:
+    """How many rows may pass: ``rate`` tokens a second, ``burst`` at most held; take() gives what there is, of what is wanted."""
+
+    def __init__(self, rate: float, burst: float, now: float = 0.0):
+        self.rate, self.burst, self.held, self.at = rate, burst, burst, now
+
+    def take(self, wanted: float, now: float) -> float:
+        self.held = min(self.burst, self.held + self.rate * max(0.0, now - self.at))
+        self.at = max(self.at, now)
+        given = min(wanted, self.held)
+        self.held -= given
+        return given

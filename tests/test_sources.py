@@ -100,3 +100,21 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = windows.finished(stream, str(tmp_path), "complete")
     want = windows.tumbling(table(spark, sf, "events"), "ts", "1 day", ["event_type"], aggs)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pushdown_report(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quernstone.sources.readers import pushdown
+
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    got = pushdown(o.filter((F.col("o_orderkey") > 5) & (F.length("o_orderstatus") > F.col("o_custkey"))).select("o_orderkey"))
+    assert any("GreaterThan(o_orderkey,5)" in x for x in got["pushed"]) and not any("length" in x for x in got["pushed"])
+    assert len(got["residual"]) == 1 and "length" in got["residual"][0]
+
+
+def test_token_bucket():
+    from quernstone.streaming.watermarks import TokenBucket
+
+    b = TokenBucket(rate=10, burst=20)
+    assert [b.take(15, 0.0), b.take(15, 0.0), b.take(100, 1.0), b.take(100, 100.0), b.take(1, 50.0)] == [15, 5, 10, 20, 0]
