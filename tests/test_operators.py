@@ -339,3 +339,16 @@ def test_fuzzy_match_loses_no_pair(spark):
     got = {(x.lk, x.rk) for x in fuzzy_match(left, right, "k", "r", "a", "d").collect()}
     assert got == {(2, 11), (1, 12)} or got == {(2, 11), (1, 10)}
     assert {(x.lk, x.rk) for x in fuzzy_match(left.filter("k = 1"), right.filter("k = 10"), "k", "r", "a", "d").collect()} == {(1, 10)}
+
+
+def test_pagerank_without_edges(spark, tmp_path):
+    """No edges: no ranks, and no error; so too where no edge carries more than the others."""
+    from quernstone.plans import registry
+
+    for dangling in ("drop", "redistribute"):
+        none = graph.pagerank(spark.createDataFrame([], "src long, dst long"), 3, dangling=dangling)
+        assert none.columns == ["id", "rank"] and rows(none) == []
+    one = {"lineitem": "1L AS l_orderkey, 1L AS l_suppkey, 5.0D AS l_extendedprice", "orders": "1L AS o_orderkey, 1L AS o_custkey", "customer": "1L AS c_custkey, 3 AS c_nationkey", "supplier": "1L AS s_suppkey, 4 AS s_nationkey"}
+    for name, row in one.items():
+        spark.sql(f"SELECT {row}").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(registry.queries()["pagerank"](spark, str(tmp_path))) == []
