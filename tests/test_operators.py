@@ -327,6 +327,20 @@ def test_generic_join_against_pandas(spark):
     assert generic_join([frames[0], frames[1].limit(0)]).count() == 0
 
 
+def test_generic_join_counts_without_making_the_results(spark):
+    """Two triangles at each of 40 nodes of a complete graph: 40 * 40 ** 4 results; and on a sparse graph the numbers of the rows themselves."""
+    from quernstone.operators.joins import generic_join
+
+    bowtie = [("x", "y"), ("y", "z"), ("z", "x"), ("x", "u"), ("u", "v"), ("v", "x")]
+    full = spark.range(1600).select((F.col("id") % 40).alias("a"), (F.col("id") / 40).cast("long").alias("b"))
+    assert rows(generic_join([full.toDF(*p) for p in bowtie], by=["x"])) == rows(spark.range(40).select("id", F.lit(40**4)))
+    some = full.filter("(a * 7 + b * 3) % 11 < 2 AND a < 14 AND b < 14")
+    for shape, by in ((bowtie, ["x"]), (bowtie, ["u", "y"]), ([("x", "y"), ("y", "z"), ("z", "w"), ("w", "x")], ["z"]), ([("x", "y"), ("z", "w")], ["y"])):
+        frames = [some.toDF(*p) for p in shape]
+        want = rows(generic_join(frames).groupBy(*by).agg(F.count("*").alias("n")))
+        assert want and rows(generic_join(frames, by=by)) == want
+
+
 def test_fuzzy_match_loses_no_pair(spark):
     """Amounts far apart that the weights still let through, and a row whose best partner prefers another."""
     import datetime as dt
