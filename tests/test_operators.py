@@ -366,3 +366,15 @@ def test_pagerank_without_edges(spark, tmp_path):
     for name, row in one.items():
         spark.sql(f"SELECT {row}").write.parquet(f"{tmp_path}/{name}.parquet")
     assert rows(registry.queries()["pagerank"](spark, str(tmp_path))) == []
+
+
+def test_fuzzy_match_stores_no_list_of_pairs(spark, monkeypatch):
+    """One day, one amount, references a digit or two apart: each of 150 * 150 pairs reaches the threshold, and no step stores more rows than there are."""
+    import datetime as dt
+
+    stored = []
+    monkeypatch.setattr(graph, "_cut", lambda df: (stored.append(df.count()), df)[1])
+    rest = [100.0, dt.date(2024, 1, 5)]
+    left, right = (spark.createDataFrame([(k, f"{word} {1000 + k}", *rest) for k in range(150)], "k int, r string, a double, d date") for word in ("Inv", "inv."))
+    assert rows(joins.fuzzy_match(left, right, "k", "r", "a", "d", rounds=1)) == sorted([(k, k, 100.0) for k in range(150)], key=str)
+    assert stored and max(stored) <= 150
