@@ -378,3 +378,14 @@ def test_fuzzy_match_stores_no_list_of_pairs(spark, monkeypatch):
     left, right = (spark.createDataFrame([(k, f"{word} {1000 + k}", *rest) for k in range(150)], "k int, r string, a double, d date") for word in ("Inv", "inv."))
     assert rows(joins.fuzzy_match(left, right, "k", "r", "a", "d", rounds=1)) == sorted([(k, k, 100.0) for k in range(150)], key=str)
     assert stored and max(stored) <= 150
+
+
+def test_layout_pages_whatever_the_order_of_repeated_lines(spark, tmp_path):
+    """512 rows of one order and line: the page of the parts searched for does not depend on how the rows are stored."""
+    from quernstone.plans import registry
+
+    got = []
+    for name, at in (("a", "id"), ("b", "511 - id"), ("c", "(id * 77) % 512")):
+        spark.range(0, 512, 1, 1).selectExpr("1L AS l_orderkey", "1 AS l_linenumber", f"CASE WHEN ({at}) < 100 THEN 120L ELSE 1000L + ({at}) END AS l_partkey").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        got.append(tuple(registry.queries()["layout_pages"](spark, f"{tmp_path}/{name}").first()))
+    assert got == [(2, 1, 1)] * 3
