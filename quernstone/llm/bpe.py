@@ -8,10 +8,14 @@ of the pairs to their left and right change.  A merge list in which a pair could
 rank below the merge that makes one of its halves is rejected, so a rank, once
 applied, never comes back.
 
-Words repeat, so each wave encodes distinct words only; a worker keeps the words
+Words repeat, so each wave encodes distinct words only; a task keeps the words
 of its last waves in a cache of bounded size.  There is no shuffle and no state
 beyond the cache: a lost task is simply run again.
 
+Memory: a wave ends within a batch where that holds many bytes, only a single text
+is never cut; places and symbols are 32-bit numbers; a task that ends leaves its worker
+nothing but the model, and decoding needs no more than the tokens' texts.
+
 The vocabulary is a tokenizers JSON file with BPE, an NFC / white space /
 lower-case normaliser, a Split pattern and byte-level symbols; its path is a
 parameter, and its content (under 2 MB) is broadcast.
@@ -38,8 +42,10 @@ from pyspark.sql import functions as F
 
 from quernstone.llm._env import release, ship
 
-WAVE_BYTES = 5_000_000
-CACHE_WORDS = 150_000
+WAVE_BYTES = 2_500_000
+DECODED_BYTES = 4_000_000
+RANKED = 1 << 17
+CACHE_WORDS = 100_000
 MOST_MODEL_BYTES = 64_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -51,6 +57,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
+def token_texts(spec: dict) -> list[str]:
+    """The text of each id of a tokenizers file."""
+    vocab, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (max([*vocab.values(), *added.values()]) + 1)
+    for text, i in [*vocab.items(), *added.items()]:
+        out[i] = text
+    return out
+
+
 class PairIndex:
     """The merges of a vocabulary, applied to many words at once."""
 
@@ -60,24 +75,22 @@ class PairIndex:
         self.suffix = bpe.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = bpe["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
-        for text, i in [*vocab.items(), *self.added.items()]:
-            self.tokens[i] = text
+        self.tokens = token_texts(spec)
         pairs = [p.split(" ") if isinstance(p, str) else p for p in bpe["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.left, self.right, self.size = left, right, len(self.tokens)
         born = np.full(self.size, -1)
         born[self.made[::-1]] = np.arange(len(pairs))[::-1]
         if (np.maximum(born[left], born[right]) >= np.arange(len(pairs))).any():
             raise ValueError("a pair ranks below the merge that makes one of its symbols")
         key = left * self.size + right
-        self.rank_of = np.argsort(key, kind="stable")
-        self.keys = key[self.rank_of]
+        order = np.argsort(key, kind="stable")
+        self.rank_of, self.keys = order.astype(np.int32), key[order]
         names = byte_symbols()
-        self.inner = np.array([vocab.get(c, -1) for c in names], np.int64)
-        self.last = np.array([vocab.get(c + self.suffix, -1) for c in names], np.int64)
+        self.inner = np.array([vocab.get(c, -1) for c in names], np.int32)
+        self.last = np.array([vocab.get(c + self.suffix, -1) for c in names], np.int32)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern.replace("\\s", _WHITE))
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -94,9 +107,12 @@ class PairIndex:
         return out
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
+        if len(a) > RANKED:
+            return np.concatenate([self._ranks(a[k : k + RANKED], b[k : k + RANKED]) for k in range(0, len(a), RANKED)])
+        key = np.multiply(a, self.size, dtype=np.int64)
+        key += b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], -1)
+        return np.where(self.keys[at] == key, self.rank_of[at], np.int32(-1))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word's start and end."""
@@ -105,15 +121,19 @@ class PairIndex:
         raw = [w.encode() for w in words]
         size = np.array([len(r) for r in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
+        del raw
+        kind = np.int32 if len(data) < (1 << 31) - 2 else np.int64
         stop = np.cumsum(size)
         sym = self.inner[data]
         sym[stop - 1] = self.last[data[stop - 1]]
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(words), dtype=kind), size)
+        del data, stop
         known = sym >= 0
-        sym, word = sym[known], word[known]
+        if not known.all():
+            sym, word = sym[known], word[known]
         n = len(sym)
-        sym = np.append(sym, -1)  # place n: no neighbour
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        sym = np.append(sym, np.int32(-1))  # place n: no neighbour
+        nxt, prv = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
         cut = np.flatnonzero(word[1:] != word[:-1])
         nxt[cut], prv[cut + 1] = n, n
         nxt[n - 1 :], prv[0], prv[n] = n, n, n
@@ -130,6 +150,7 @@ class PairIndex:
                 return
             order = np.argsort(rank, kind="stable")
             place, rank = place[order], rank[order]
+            del order
             at = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
             for r, p in zip(rank[at].tolist(), np.split(place, at[1:]) if len(at) > 1 else [place]):
                 if r in index:
@@ -138,7 +159,7 @@ class PairIndex:
                     index[r] = [p]
                     heapq.heappush(heap, r)
 
-        note(np.flatnonzero(nxt[:n] < n))
+        note(np.flatnonzero(nxt[:n] < n).astype(kind))
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
@@ -154,7 +175,7 @@ class PairIndex:
                     if x != last:
                         taken.append(x)
                         last = y
-                i = np.array(taken)
+                i = np.array(taken, kind)
             if not len(i):
                 continue
             j = nxt[i]
@@ -224,6 +245,15 @@ class Encoder:
 
 
 _kept: dict[int, Encoder] = {}
+_texts: dict[int, pa.Array] = {}
+
+
+def _tokens(model: bytes) -> pa.Array:
+    key = hash(model)
+    if key not in _texts:
+        _texts.clear()
+        _texts[key] = pa.array(token_texts(json.loads(model)), pa.string())
+    return _texts[key]
 
 
 def _encoder(model: bytes) -> Encoder:
@@ -248,6 +278,20 @@ def waves(batches, column: str, most: int):
         yield held
 
 
+def bounded(batches, column: str, most: int):
+    """The batches, in slices of at most so many bytes of a column, or of one row."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+        first, held = 0, 0
+        for k, s in enumerate(size):
+            if held + s > most and k > first:
+                yield batch.slice(first, k - first)
+                first, held = k, 0
+            held += s
+        if first < len(size):
+            yield batch.slice(first)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         model = f.read(MOST_MODEL_BYTES + 1)
@@ -263,15 +307,19 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     model = spark.sparkContext.broadcast(read_model(path))
 
     def run(batches):
+        release()  # what this worker still holds of other work
         coder = _encoder(model.value)
-        for wave in waves(batches, "text", WAVE_BYTES):
+        for wave in waves(bounded(batches, "text", WAVE_BYTES), "text", WAVE_BYTES):
             if len(coder.number) > CACHE_WORDS:
                 coder.clear()
             numbers = [[coder.numbers(t or "") for t in batch.column("text").to_pylist()] for batch in wave]
             coder.learn()
             for batch, own in zip(wave, numbers):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([coder.ids(x).tobytes() for x in own], pa.binary())], ["doc_id", "ids"])
+            del batch, wave, numbers
             release()
+        coder.clear()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -283,18 +331,16 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     model = spark.sparkContext.broadcast(read_model(path))
 
     def run(batches):
-        tokens = pa.array(_encoder(model.value).index.tokens, pa.string())
-        for batch in batches:
+        release()
+        tokens = _tokens(model.value)
+        for batch in bounded(batches, "ids", DECODED_BYTES):
             ids = batch.column("ids").fill_null(b"")
             raw = ids.to_pylist()
-            texts = []
-            group = np.cumsum([len(x) for x in raw]) // 32_000_000  # each group's text stays far below 2 GB
-            for g in np.unique(group):
-                own = [raw[i] for i in np.flatnonzero(group == g)]
-                at = np.cumsum([0, *(len(x) // 4 for x in own)])
-                names = tokens.take(pa.array(np.frombuffer(b"".join(own), np.uint32)))
-                texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), names), " "))
-            decoded = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+            at = np.cumsum([0, *(len(x) // 4 for x in raw)])
+            names = tokens.take(pa.array(np.frombuffer(b"".join(raw), np.uint32)))
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), names), " ")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
+            del batch, ids, raw, names, decoded
+            release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -220,6 +220,28 @@ def test_bpe_equals_library_and_decodes(spark, edges):
     assert got == sorted(want, key=str)
 
 
+def test_bpe_memory_is_bounded():
+    """Distinct words cost few bytes while they are encoded; a batch of very many bytes, of one row or of none is cut by bytes alone."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    words = list({"".join(w) for w in rng.choice(list("etaoinshrdlu"), (60_000, 9))})
+    index, tok = B.PairIndex(B.read_model(WORD_BPE)), Tokenizer.from_file(WORD_BPE)
+    tracemalloc.start()
+    ids, at = index.encode(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * sum(map(len, words))
+    some = words[::600]
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(0, len(words), 600)] == [tok.encode(w, add_special_tokens=False).ids for w in some]
+    texts = ["a" * n for n in (10, 90, 1, 500, 0, 3)] + [None] + ["b" * 60] * 5
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in (texts, [], [None])]
+    parts = [p.column("text").to_pylist() for p in B.bounded(batches, "text", 100)]
+    assert sum(parts, []) == [*texts, None] and all(len(p) == 1 or sum(len(t or "") for t in p) <= 100 for p in parts) and all(parts)
+
+
 def test_range_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for n in (0, 1, 65, rans.BLOCK, rans.BLOCK + 1, 200_000):
