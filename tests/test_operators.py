@@ -389,3 +389,68 @@ def test_layout_pages_whatever_the_order_of_repeated_lines(spark, tmp_path):
         spark.range(0, 512, 1, 1).selectExpr("1L AS l_orderkey", "1 AS l_linenumber", f"CASE WHEN ({at}) < 100 THEN 120L ELSE 1000L + ({at}) END AS l_partkey").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
         got.append(tuple(registry.queries()["layout_pages"](spark, f"{tmp_path}/{name}").first()))
     assert got == [(2, 1, 1)] * 3
+
+
+def _rows_made(plan) -> int:
+    """The most rows that a node of an executed plan gave on."""
+    kind, own = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *map(_rows_made, below)])
+
+
+def test_fuzzy_match_makes_no_rows_of_pairs(spark):
+    """No row has an equal on the other side, each of 300 * 300 pairs reaches the threshold, and no step gives on more rows than both sides and their results have."""
+    import datetime as dt
+
+    rest = [100.0, dt.date(2024, 1, 5)]
+    left, right = (spark.createDataFrame([(k, f"{word} {1000 + k}", *rest) for k in range(300)], "k int, r string, a double, d date") for word in ("invoice number", "invoice numbed"))
+    got = joins.fuzzy_match(left, right, "k", "r", "a", "d", rounds=1)
+    assert rows(got) == sorted([(k, k, round(100 - 50 / 19, 6)) for k in range(300)], key=str)
+    assert 0 < _rows_made(got._jdf.queryExecution().executedPlan()) <= 2400
+
+
+@pytest.mark.parametrize("crowd", [500_000, 5])
+@pytest.mark.parametrize("case", ["near", "signs", "text only", "described"])
+def test_fuzzy_match_like_a_search_over_all_pairs(spark, monkeypatch, case, crowd):
+    """Copies, ties, long and empty texts, letters of all kinds, small and negative amounts, days around 1970; blocks of days cut by amount or not."""
+    import datetime as dt
+    import random
+
+    monkeypatch.setattr(joins, "CROWD", crowd)
+    rnd = random.Random(case)
+    weights = {"text only": (1.0, 0.0, 0.0), "described": (0.4, 0.2, 0.2, 0.2)}.get(case, (0.5, 0.3, 0.2))
+    threshold, days = {"signs": (55.0, 1), "near": (80.0, 2)}.get(case, (70.0, 2))
+
+    def text():
+        return rnd.choice(["", "x" * 70, "長" * 40, "inv ", "inv "]) + "".join(rnd.choice("01é長") for _ in range(rnd.randrange(4)))
+
+    def one():
+        amount = rnd.choice([-1, 1]) * round(rnd.uniform(0, 0.05), 3) if case == "signs" else rnd.choice([100.0, 99.99, round(rnd.uniform(1, 200), 2)])
+        return rnd.randrange(40), text(), amount, dt.date(1969, 12, 28) + dt.timedelta(rnd.randrange(12)), rnd.choice(["", "p q", "q r", "p"])
+
+    def lev(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    def score(p, q):
+        x, y = (" ".join(sorted(v[1].split())) for v in (p, q))
+        gap, n = abs((p[3] - q[3]).days), max(len(x), len(y))
+        told = set(p[4].split()), set(q[4].split())
+        parts = [1 - lev(x, y) / n if n else 1, max(0, 1 - abs(p[2] - q[2]) / max(abs(p[2]), abs(q[2]), 0.01)), 1 - gap / (days + 1), len(told[0] & told[1]) / len(told[0] | told[1]) if told[0] | told[1] else 1]
+        return round(sum(100 * w * v for w, v in zip(weights, parts)), 6) if gap <= days else 0
+
+    left, right = [one() for _ in range(40)], [one() for _ in range(30)]
+    right += [(k + 100, *rest) for k, *rest in left[:15]]
+    pairs = [(score(p, q), p[0], q[0]) for p in left for q in right]
+    ours, theirs = {}, {}
+    for s, p, q in pairs:
+        if s >= threshold:
+            ours[p], theirs[q] = min(ours.get(p, (0, 0)), (-s, q)), min(theirs.get(q, (0, 0)), (-s, p))
+    want = sorted([(p, q, -s) for p, (s, q) in ours.items() if theirs[q] == (s, p)], key=str)
+    frames = [spark.createDataFrame(v, "k int, r string, a double, d date, t string") for v in (left, right)]
+    got = joins.fuzzy_match(*frames, "k", "r", "a", "d", weights, threshold, days, "t" if case == "described" else None, rounds=1)
+    assert want and rows(got) == want
